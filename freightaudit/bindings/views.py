@@ -280,10 +280,26 @@ SELECT concat('ev_', CAST(user_id AS STRING)) AS email_id, ts,
 FROM events
 """
 
+
+def _field() -> str:
+    """Labels and values long: one row per document and field."""
+    constants = ", ".join(f"({i}, {q(f)})" for i, f in enumerate(dims.FIELDS))
+
+    def case(prefix: str) -> str:
+        arms = " ".join(f"WHEN {i} THEN {prefix}_{f}" for i, f in enumerate(dims.FIELDS))
+        return f"CASE f.i {arms} END"
+
+    return (
+        f"SELECT k, role, side, path, f.i AS field_ord, f.field, {case('l')} AS label, "
+        f"{case('v')} AS value FROM v_values, (VALUES {constants}) AS f(i, field)"
+    )
+
+
 VIEWS = {
     "v_shipment": _SHIPMENT,
     "v_sides": _SIDES,
     "v_values": _values(),
+    "v_field": _field(),
     "v_doc_text": _doc_text(),
     "v_mail": _mail(),
     "v_audit": _AUDIT,

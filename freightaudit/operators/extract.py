@@ -16,7 +16,7 @@ from freightaudit.functions import labels as L
 from freightaudit.functions.text import WS, contains_any, fold_text, split_lines, strip
 from freightaudit.functions.values import folded_field_value, folded_missing
 from freightaudit.operators.joins import spread_left_join
-from freightaudit.operators.labels import decide_keys, distinct_label_keys, with_accepted_label
+from freightaudit.operators.labels import decide_keys, with_accepted_label
 
 _TOTAL = rf"(?iu)^total{WS}+"
 _AFTER_LABEL = " :-|\t"
@@ -95,12 +95,14 @@ def _carried(rows: DataFrame, used: set[str]) -> list[str]:
 
 def pair_candidates(pairs: DataFrame) -> DataFrame:
     """``pairs(path, seq, label, value)`` in the common candidate row form."""
-    return pairs.select(
+    keys = F.array(L.label_key(fold_text(F.coalesce("label", F.lit("")))))
+    keyed = pairs.select("*", F.explode(keys).alias("key1"))
+    return keyed.select(
         *_carried(pairs, {"seq", "label", "value"}),
         F.lit(0).alias("kind"),
         F.col("seq").alias("no"),
         F.coalesce("label", F.lit("")).alias("label1"),
-        L.label_key(fold_text(F.coalesce("label", F.lit("")))).alias("key1"),
+        F.col("key1"),
         F.coalesce("value", F.lit("")).alias("value1"),
         *[
             F.lit(None).cast("string").alias(c)
@@ -376,11 +378,11 @@ def uncertain_labels(pairs: DataFrame) -> DataFrame:
     Distinct labels are decided once and joined back; labels that very many documents share
     are spread over several tasks.
     """
-    keyed = pairs.withColumn("label_key", L.label_key(fold_text(F.col("label")))).where(
-        strip(F.coalesce("label", F.lit(""))) != ""
-    )
+    named = pairs.where(strip(F.coalesce("label", F.lit(""))) != "")
+    keys = F.array(L.label_key(fold_text(F.col("label"))))
+    keyed = named.select("*", F.explode(keys).alias("label_key"))
     open_rows = keyed.where(L.exact_field(F.col("label_key")).isNull())
-    decisions = decide_keys(distinct_label_keys(open_rows)).where(~F.col("decision.accepted"))
+    decisions = decide_keys(open_rows.select("label_key").distinct()).where(~F.col("decision.accepted"))
     joined = spread_left_join(open_rows, decisions, "label_key", spread_by=["path", "seq"])
     return joined.where(F.col("decision").isNotNull()).select(
         "path", "seq", "label", F.lit("table").alias("source"), "decision"
