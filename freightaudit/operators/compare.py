@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightaudit import dims
+from freightaudit.functions.once import with_columns_once
 from freightaudit.functions.text import field_title, or_dash
 from freightaudit.functions.values import lenient_equal
 from freightaudit.operators.joins import find_si_bl_paths
@@ -22,8 +23,8 @@ def field_state(si: Column, bl: Column) -> Column:
     )
 
 
-def compare_fields(pairs: DataFrame) -> DataFrame:
-    """Adds ``comparisons`` (one struct per field, in field order) to rows with ``si``/``bl``."""
+def field_comparisons() -> Column:
+    """One struct per field, in field order, from the document facts ``si`` and ``bl``."""
     rows = []
     for order, field in enumerate(dims.FIELDS):
         si, bl = F.col(f"si.{field}"), F.col(f"bl.{field}")
@@ -40,7 +41,12 @@ def compare_fields(pairs: DataFrame) -> DataFrame:
                 bl["raw_label"].alias("bl_label"),
             )
         )
-    return pairs.withColumn("comparisons", F.array(*rows))
+    return F.array(*rows)
+
+
+def compare_fields(pairs: DataFrame) -> DataFrame:
+    """Adds ``comparisons`` to rows with the document facts ``si`` and ``bl``."""
+    return with_columns_once(pairs, {"comparisons": field_comparisons()})
 
 
 def _fields_in(comparisons: Column, state: str) -> Column:
@@ -113,7 +119,7 @@ def decide_comparison(joined: DataFrame) -> DataFrame:
     Checks in order: fewer than two files, no named pair, unreadable, wrong document type,
     comparison.
     """
-    compared = compare_fields(joined)
+    compared = with_columns_once(joined, {"comparisons": field_comparisons()})
     no_pair = (F.coalesce("si_path", F.lit("")) == "") | (F.coalesce("bl_path", F.lit("")) == "")
     unreadable = readable_error(F.col("si")).isNotNull() | readable_error(F.col("bl")).isNotNull()
     wrong = F.col("si.wrong_type") | F.col("bl.wrong_type")
@@ -137,12 +143,11 @@ def decide_comparison(joined: DataFrame) -> DataFrame:
         .when(wrong, review_decision("wrong_doc_type"))
         .otherwise(pair_status(F.col("comparisons")))
     )
-    return (
-        compared.withColumn("_d", decision)
-        .withColumn("comparisons", F.when(reaches_compare, F.col("comparisons")))
-        .select("*", "_d.*")
-        .drop("_d")
+    decided = with_columns_once(
+        compared,
+        {"_d": decision, "comparisons": F.when(reaches_compare, F.col("comparisons"))},
     )
+    return decided.select("*", "_d.*").drop("_d")
 
 
 def comparison_inputs(classified: DataFrame) -> DataFrame:

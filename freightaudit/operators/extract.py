@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freightaudit import dims
 from freightaudit.functions import labels as L
+from freightaudit.functions.once import with_columns_once
 from freightaudit.functions.text import WS, contains_any, fold_text, split_lines, strip
 from freightaudit.functions.values import folded_field_value, folded_missing
 from freightaudit.operators.joins import spread_left_join
@@ -95,8 +96,8 @@ def _carried(rows: DataFrame, used: set[str]) -> list[str]:
 
 def pair_candidates(pairs: DataFrame) -> DataFrame:
     """``pairs(path, seq, label, value)`` in the common candidate row form."""
-    keys = F.array(L.label_key(fold_text(F.coalesce("label", F.lit("")))))
-    keyed = pairs.select("*", F.explode(keys).alias("key1"))
+    key = L.label_key(fold_text(F.coalesce("label", F.lit(""))))
+    keyed = with_columns_once(pairs, {"key1": key})
     return keyed.select(
         *_carried(pairs, {"seq", "label", "value"}),
         F.lit(0).alias("kind"),
@@ -379,8 +380,7 @@ def uncertain_labels(pairs: DataFrame) -> DataFrame:
     are spread over several tasks.
     """
     named = pairs.where(strip(F.coalesce("label", F.lit(""))) != "")
-    keys = F.array(L.label_key(fold_text(F.col("label"))))
-    keyed = named.select("*", F.explode(keys).alias("label_key"))
+    keyed = with_columns_once(named, {"label_key": L.label_key(fold_text(F.col("label")))})
     open_rows = keyed.where(L.exact_field(F.col("label_key")).isNull())
     decisions = decide_keys(open_rows.select("label_key").distinct()).where(~F.col("decision.accepted"))
     joined = spread_left_join(open_rows, decisions, "label_key", spread_by=["path", "seq"])

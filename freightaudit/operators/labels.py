@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freightaudit import dims
 from freightaudit.functions import labels as L
+from freightaudit.functions.once import with_columns_once
 from freightaudit.functions.pyudf import char_similarity
 from freightaudit.functions.text import fold_text
 
@@ -72,21 +73,16 @@ def _with_decisions(rows: DataFrame, keys: dict[str, str], prune: bool) -> DataF
     else:
         add("key", F.col)
     add("sims", lambda k: L.similarities(F.col(f"_key_{k}")))
-    decisions = F.struct(
-        *[
-            F.when(
-                F.col(f"_key_{k}").isNotNull(),
-                L.label_decision(L.field_candidates(F.col(f"_profile_{k}"), F.col(f"_sims_{k}"))),
-            ).alias(out)
-            for k, out in keys.items()
-        ]
+    decisions = {
+        out: F.when(
+            F.col(f"_key_{k}").isNotNull(),
+            L.label_decision(L.field_candidates(F.col(f"_profile_{k}"), F.col(f"_sims_{k}"))),
+        )
+        for k, out in keys.items()
+    }
+    return with_columns_once(rows, decisions).drop(
+        *[f"_{stage}_{k}" for stage in ("profile", "key", "sims") for k in keys]
     )
-    dropped = {f"_{stage}_{k}" for stage in ("profile", "key", "sims") for k in keys}
-    kept = [c for c in rows.columns if c not in dropped]
-    # exploding one element keeps the optimizer from copying this costly expression into
-    # every later filter that looks at the decision
-    one = rows.select(*kept, F.explode(F.array(decisions)).alias("_decided"))
-    return one.select(*kept, "_decided.*")
 
 
 def decide_keys(keys: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from freightaudit import dims
 from freightaudit.functions import text as X
+from freightaudit.functions.once import with_columns_once
 from freightaudit.operators.joins import find_si_bl_paths
 
 
@@ -127,7 +128,7 @@ def category_scores(mails: DataFrame, evidence: bool = False) -> DataFrame:
                 X.found_phrases(F.col("_bn"), phrases).alias("body_phrases"),
             ]
         scores.append(F.struct(*parts))
-    return prepared.withColumn("scores", F.array(*scores)).drop(
+    return with_columns_once(prepared, {"scores": F.array(*scores)}).drop(
         "_subject", "_body", "_sw", "_bw", "_sn", "_bn"
     )
 
@@ -415,7 +416,7 @@ def cascade(
         )
     else:
         choice = choice.otherwise(decided(llm_stage(F.col("_response")), confidence, "llm"))
-    rows = rows.withColumn("_choice", choice).withColumns(
+    rows = with_columns_once(rows, {"_choice": choice}).withColumns(
         {c: F.col(f"_choice.{c}") for c in ("category", "confidence", "source")}
     )
     return rows.drop("_choice", "_top", "_response")
