@@ -11,6 +11,8 @@ MODULES = [
     "rule_queries",
     "document_queries",
     "score_queries",
+    "feature_queries",
+    "source_queries",
 
 
 

@@ -153,14 +153,19 @@ def read_lines(lines: Column) -> Column:
     return F.transform(F.transform(F.transform(lines, trimmed), with_key), with_matches)
 
 
-def _line_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """Lines that may give a field, and the first of each document, as candidate rows."""
+def _line_rows(rows: DataFrame, carried: list[str], keep: Column | None = None) -> DataFrame:
+    """Lines that may give a field, and the first of each document, as candidate rows.
+
+    ``keep`` marks further lines to keep for what they carry.
+    """
     useful = (
         (F.coalesce("line_no", F.lit(1)) == 1)
         | F.col("may_label")
         | F.col("match1").isNotNull()
         | F.col("match2").isNotNull()
     )
+    if keep is not None:
+        useful = useful | keep
     return rows.where(useful).select(
         *carried,
         F.lit(1).alias("kind"),
@@ -193,7 +198,8 @@ def line_candidates(lines: DataFrame) -> DataFrame:
     folded = fold_text(F.col("raw"), keep_colons=True)
     one = lines.withColumn("_lines", F.array(F.struct("raw", folded.alias("folded"))))
     rows = one.select(*carried, "line_no", F.explode(read_lines(F.col("_lines"))).alias("col"))
-    return _line_rows(rows.select(*carried, "line_no", "col.*"), carried)
+    flagged = F.coalesce("wrong_type", F.lit(False)) if "wrong_type" in carried else None
+    return _line_rows(rows.select(*carried, "line_no", "col.*"), carried, flagged)
 
 
 def choose_candidate(rows: DataFrame) -> DataFrame:
