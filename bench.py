@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 The derived mails and documents are stored once before timing, so the figures are those of the
-engine.  Each query runs once to warm up and then BENCH_RUNS times; the median counts.
+engine.  Each query runs BENCH_RUNS times after BENCH_WARMUPS untimed runs; the median counts.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from freightaudit.bindings import feature_queries, score_queries, views
-from freightaudit.operators import evaluate, extract, review, rules
+from freightaudit.operators import evaluate, review, rules
 from freightaudit.plans import audit
 from freightaudit.sources.sinks import stored
 
@@ -44,7 +45,6 @@ def main() -> None:
 
     queries = {
         "audit_mails": lambda: audit.decisions(audit.audit_mails(mails, docs)),
-        "document_facts": lambda: extract.document_facts(docs),
         "classify_by_rules": lambda: rules.classify_by_rules(mails).drop("scores"),
         "final_score": lambda: evaluate.final_score(evaluate.join_truth_outer(truth, pred)),
         "category_report": lambda: evaluate.category_report(
@@ -58,7 +58,7 @@ def main() -> None:
         "word_tfidf": lambda: feature_queries.word_tfidf(spark, sf_dir),
         "confusion": lambda: score_queries.confusion(spark, sf_dir),
     }
-    times = {name: timed(build, runs) for name, build in queries.items()}
+    times = {name: timed(name, build, runs) for name, build in queries.items()}
     print(
         json.dumps(
             {
@@ -68,7 +68,6 @@ def main() -> None:
                 "queries": {name: round(t, 3) for name, t in times.items()},
                 "sf": os.path.basename(sf_dir.rstrip("/")),
                 "mails_per_second": round(mails.count() / times["audit_mails"]),
-                "documents_per_second": round(docs.count() / times["document_facts"]),
             }
         )
     )
@@ -79,13 +78,15 @@ def run(frame: DataFrame) -> None:
     frame.write.format("noop").mode("overwrite").save()
 
 
-def timed(build, runs: int) -> float:
-    run(build())
+def timed(name: str, build, runs: int) -> float:
+    for _ in range(int(os.environ.get("BENCH_WARMUPS", "0"))):
+        run(build())
     took = []
     for _ in range(runs):
         start = time.perf_counter()
         run(build())
         took.append(time.perf_counter() - start)
+    print(f"{name}: {took}", file=sys.stderr, flush=True)
     return statistics.median(took)
 
 

@@ -261,7 +261,7 @@ def score_parts(label: Column, alias: Column) -> Column:
     )
 
 
-def points_without_similarity(parts: Column) -> Column:
+def points_without_similarity(parts: Column | dict[str, Column]) -> Column:
     different = parts["words"] - parts["shared"] * 2
     return (
         parts["shared"] * F.lit(dims.SHARED_WORD_POINTS)
@@ -276,10 +276,16 @@ def could_be_accepted(profile: Column) -> Column:
     """Can any alias still reach the threshold with the ten points similarity may add?"""
 
     def reaches(alias: Column) -> Column:
-        return let(
-            score_parts(profile, alias),
-            lambda p: points_without_similarity(p) + 10.0 >= F.lit(dims.MIN_LABEL_SCORE),
-        )
+        parts = {
+            "shared": F.bit_count(profile["mask"].bitwiseAND(alias["mask"])),
+            "words": profile["words"] + alias["words"],
+            "acronym": _shares_acronym(profile, alias),
+            "initials": _initial_points(profile, alias),
+        }
+        # as in may_score: without a shared word or acronym nothing reaches the threshold, and
+        # for most aliases this first test already ends it
+        related = (parts["shared"] > 0) | parts["acronym"]
+        return related & (points_without_similarity(parts) + 10.0 >= F.lit(dims.MIN_LABEL_SCORE))
 
     return F.exists(alias_array(DISTINCT_ALIASES), reaches)
 

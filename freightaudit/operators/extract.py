@@ -97,7 +97,8 @@ def _carried(rows: DataFrame, used: set[str]) -> list[str]:
 def pair_candidates(pairs: DataFrame) -> DataFrame:
     """``pairs(path, seq, label, value)`` in the common candidate row form."""
     key = L.label_key(fold_text(F.coalesce("label", F.lit(""))))
-    keyed = with_columns_once(pairs, {"key1": key})
+    folded = fold_text(F.coalesce("value", F.lit("")))
+    keyed = with_columns_once(pairs, {"key1": key, "folded1": folded})
     return keyed.select(
         *_carried(pairs, {"seq", "label", "value"}),
         F.lit(0).alias("kind"),
@@ -105,9 +106,10 @@ def pair_candidates(pairs: DataFrame) -> DataFrame:
         F.coalesce("label", F.lit("")).alias("label1"),
         F.col("key1"),
         F.coalesce("value", F.lit("")).alias("value1"),
+        "folded1",
         *[
             F.lit(None).cast("string").alias(c)
-            for c in ("match1", "pvalue1", "label2", "key2", "match2", "pvalue2")
+            for c in ("match1", "label2", "key2", "match2", "pvalue")
         ],
     )
 
@@ -129,6 +131,7 @@ def read_lines(lines: Column) -> Column:
         return F.struct(
             line1.alias("line1"),
             F.when(line1.contains(":"), L.label_key(_label_part(line["folded"]))).alias("key1"),
+            _value_part(line["folded"]).alias("folded1"),
             F.when(line1.rlike(_TOTAL), strip(F.regexp_replace(line1, _TOTAL, ""))).alias("line2"),
         )
 
@@ -137,6 +140,7 @@ def read_lines(lines: Column) -> Column:
         return F.struct(
             line["line1"].alias("line1"),
             line["key1"].alias("key1"),
+            line["folded1"].alias("folded1"),
             line["line2"].alias("line2"),
             F.when(~known, prefix_label(line["line1"])).alias("match1"),
             F.when(
@@ -173,12 +177,15 @@ def _line_rows(rows: DataFrame, carried: list[str], keep: Column | None = None)
         _label_part(F.col("line1")).alias("label1"),
         "key1",
         _value_part(F.col("line1")).alias("value1"),
+        "folded1",
         "match1",
-        prefix_value(F.col("line1"), F.col("match1")).alias("pvalue1"),
         _label_part(F.col("line2")).alias("label2"),
         "key2",
         "match2",
-        prefix_value(F.col("line2"), F.col("match2")).alias("pvalue2"),
+        F.coalesce(
+            prefix_value(F.col("line1"), F.col("match1")),
+            prefix_value(F.col("line2"), F.col("match2")),
+        ).alias("pvalue"),
     )
 
 
@@ -208,34 +215,41 @@ def choose_candidate(rows: DataFrame) -> DataFrame:
     First success wins: the label before the colon, a known label at the line start, then
     both again for the line without ``total``.  Rows without a success keep a NULL candidate.
     """
-    rows = with_accepted_label(rows, {"key1": "found1", "key2": "found2"})
-    rows = rows.withColumns(
-        {f"{v}_folded": fold_text(F.col(v)) for v in ("value1", "pvalue1", "pvalue2")}
+    rows = with_accepted_label(
+        rows.withColumn("pfolded", fold_text(F.col("pvalue"))),
+        {"key1": "found1", "key2": "found2"},
     )
 
-    def option(field: Column, score: Column, label: Column, value: str) -> Column:
+    def option(field: Column, score: Column, label: Column, value: str, folded: str) -> Column:
         return F.struct(
             field.alias("field"),
             score.alias("score"),
             strip(label).alias("label"),
             strip(F.col(value)).alias("value"),
-            F.col(f"{value}_folded").alias("folded"),
+            F.col(folded).alias("folded"),
         )
 
     def by_colon(found: str, label: str) -> Column:
         return F.when(
             F.col(found).isNotNull(),
-            option(F.col(f"{found}.field"), F.col(f"{found}.score"), F.col(label), "value1"),
+            option(
+                F.col(f"{found}.field"),
+                F.col(f"{found}.score"),
+                F.col(label),
+                "value1",
+                "folded1",
+            ),
         )
 
-    def by_prefix(match: str, value: str) -> Column:
+    def by_prefix(match: str) -> Column:
         return F.when(
             F.col(match).isNotNull(),
             option(
                 _prefix_lookup(F.col(match), "field"),
                 F.lit(dims.EXACT_SCORE),
                 _prefix_lookup(F.col(match), "alias"),
-                value,
+                "pvalue",
+                "pfolded",
             ),
         )
 
@@ -243,9 +257,9 @@ def choose_candidate(rows: DataFrame) -> DataFrame:
         "_pick",
         F.coalesce(
             by_colon("found1", "label1"),
-            by_prefix("match1", "pvalue1"),
+            by_prefix("match1"),
             by_colon("found2", "label2"),
-            by_prefix("match2", "pvalue2"),
+            by_prefix("match2"),
         ),
     )
     source = F.when(F.col("kind") == 0, F.lit("table")).otherwise(
@@ -262,9 +276,8 @@ def choose_candidate(rows: DataFrame) -> DataFrame:
         folded_field_value(F.col("_pick.field"), F.col("_pick.folded")).alias("normalised"),
     )
     used = {
-        "kind", "no", "label1", "key1", "value1", "match1", "pvalue1", "label2", "key2",
-        "match2", "pvalue2", "found1", "found2", "value1_folded", "pvalue1_folded",
-        "pvalue2_folded", "_pick",
+        "kind", "no", "label1", "key1", "value1", "folded1", "match1", "label2", "key2",
+        "match2", "pvalue", "pfolded", "found1", "found2", "_pick",
     }
     return rows.select(
         *_carried(rows, used),
