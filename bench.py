@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from freightaudit.bindings import feature_queries, score_queries, views
 from freightaudit.operators import evaluate, review, rules
 from freightaudit.plans import audit
-from freightaudit.sources.sinks import stored
+from freightaudit.sources.sinks import local_shared_folder, stored
 
 
 def main() -> None:
@@ -37,6 +37,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    local_shared_folder(spark)
     parts = 4 * int(cpus)
     mails = stored(views.mails(spark, sf_dir).repartition(parts))
     docs = stored(views.documents(spark, sf_dir).repartition(parts))

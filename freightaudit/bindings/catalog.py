@@ -13,10 +13,6 @@ MODULES = [
     "score_queries",
     "feature_queries",
     "source_queries",
-
-
-
-
 ]
 
 

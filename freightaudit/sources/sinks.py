@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests, a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the one the cluster shares: ``spark.checkpoint.dir`` or, where that is
+    unset, the checkpoint folder given to the context.  Without either it is an error: executors
+    would write to disks of their own and later reads would miss those files."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="freightaudit-")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/freightaudit-{uuid.uuid4().hex}"
 
 
+def local_shared_folder(spark: SparkSession) -> None:
+    """For tests and single-machine runs: name a temporary folder where the session names none."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="freightaudit-"))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: work is done once, lineage is cut,
     and a lost executor costs a re-read."""

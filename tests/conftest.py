@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
+from freightaudit.sources.sinks import local_shared_folder  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,4 +22,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    local_shared_folder(session)
     return session
