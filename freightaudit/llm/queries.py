@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightaudit.llm import bpe, simhash
+from freightaudit.llm import bpe, language, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_part(parts: int):
+    """crc32 of doc_id as text, modulo ``parts``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_part(4) == 2, F.lit(False))
+    profiles = language.learn(docs.where(~held_out))
+    return language.predict(
+        docs.select("doc_id", held_out.alias("held_out"), "text"), profiles
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -33,6 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op8_rank_order_language": op8_rank_order_language,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
