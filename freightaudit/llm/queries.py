@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightaudit.llm import bpe, language, simhash
+from freightaudit.llm import bpe, fingerprints, language, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
 def crc_part(parts: int):
     """crc32 of doc_id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
@@ -47,6 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_quartile_digest": op3_quartile_digest,
     "op8_rank_order_language": op8_rank_order_language,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
