@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightaudit.llm import bpe, fingerprints, language, simhash
+from freightaudit.llm import bpe, fingerprints, language, quality, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_part(3) == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    return quality.score(docs, quality.fit(docs.where("not held_out"), labels))
+
+
 def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
@@ -51,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_subword_quality": op2_subword_quality,
     "op3_quartile_digest": op3_quartile_digest,
     "op8_rank_order_language": op8_rank_order_language,
     "op9_simhash": op9_simhash,
