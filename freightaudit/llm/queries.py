@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightaudit.llm import bpe, fingerprints, language, quality, simhash
+from freightaudit.llm import bpe, fingerprints, language, quality, simhash, token_counts
 
+#: The end-of-document id, which the ranks leave free.
+END = 50256
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +32,13 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.document_token_counts(
+        docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN, END
+    )
+
+
 def crc_part(parts: int):
     """crc32 of doc_id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
@@ -60,6 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_subword_quality": op2_subword_quality,
     "op3_quartile_digest": op3_quartile_digest,
+    "op7_separator_scan": op7_separator_scan,
     "op8_rank_order_language": op8_rank_order_language,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
