@@ -33,7 +33,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightaudit.sources.sinks import stored
+from freightaudit.sources.sinks import shared_folder
 
 #: Characters of text that a block gathers before it is closed; it bounds the memory of a task.
 BLOCK_CHARS = 20_000_000
@@ -121,18 +121,23 @@ def encode(
     def to_ids(batches):
         return _encoded_words(batches, known, pattern)
 
-    blocks = stored(texts.mapInArrow(to_blocks, schema))
+    # bucketed by block, so that the sequences need no shuffle when the ids come back
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    writer = texts.mapInArrow(to_blocks, schema).write.bucketBy(parts, "block")
+    writer.option("path", shared_folder(spark)).saveAsTable(name)
+    blocks = spark.table(name)
     words = (
         blocks.where("kind = 0")
+        .select("part", "block", "numbers", "lengths", "payload")
         .repartition("part")
         .sortWithinPartitions("part")
-        .mapInArrow(to_ids, schema)
+        .mapInArrow(to_ids, "block string, numbers binary, lengths binary, payload binary")
     )
+    sequences = blocks.where("kind = 1").select("block", "payload", "docs", "counts")
     return (
-        words.union(blocks.where("kind = 1"))
-        .repartition("block")
-        .sortWithinPartitions("block", "kind")
-        .mapInArrow(_documents, f"key {id_type}, ids array<int>")
+        sequences.groupBy("block")
+        .cogroup(words.groupBy("block"))
+        .applyInArrow(_documents, f"key {id_type}, ids array<int>")
         .withColumnRenamed("key", key)
     )
 
@@ -246,11 +251,13 @@ def _encoded_words(batches: Iterator[pa.RecordBatch], ranks: Broadcast, pattern:
                     own = known[word] = encoder._encode_single_piece(word)
                 ids += own
                 sizes.append(len(own))
-            yield _row(
-                batch.schema.field("docs").type.value_type,
-                cells["block"].as_py(), 0, part, cells["numbers"].as_py(),
-                packed(np.array(sizes, np.uint32)), packed(np.array(ids, np.uint32)), None, None,
-            )
+            found = [
+                cells["block"].as_py(), cells["numbers"].as_py(),
+                packed(np.array(sizes, np.uint32)), packed(np.array(ids, np.uint32)),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([cell]) for cell in found], ["block", "numbers", "lengths", "payload"]
+            )
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -260,30 +267,22 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - ends + sizes, sizes)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]):
-    """Documents of each block: first come the rows with the ids of its words, then sequences."""
-    block, rows, starts, sizes, flat = None, [], None, None, None
-    for batch in batches:
-        for row in range(batch.num_rows):
-            cells = {name: batch.column(name)[row] for name in batch.schema.names}
-            if cells["block"].as_py() != block:
-                block, rows, starts = cells["block"].as_py(), [], None
-            if cells["kind"].as_py() == 0:
-                rows.append([cells[c].as_py() for c in ("numbers", "lengths", "payload")])
-                continue
-            if starts is None:
-                starts, sizes, flat = _word_table(rows)
-                rows = []
-            sequence = unpacked(cells["payload"].as_py())
-            own = sizes[sequence]
-            counts = np.asarray(cells["counts"].as_py(), np.int64)
-            before = np.concatenate(([0], np.cumsum(own)))
-            offsets = before[np.concatenate(([0], np.cumsum(counts)))]
-            ids = flat[spans(starts[sequence], own)]
-            yield pa.RecordBatch.from_arrays(
-                [cells["docs"].values, pa.ListArray.from_arrays(offsets.astype(np.int32), ids)],
-                ["key", "ids"],
-            )
+def _documents(sequences: pa.Table, words: pa.Table) -> pa.Table:
+    """The documents of a block: its sequences of words, and the ids of its words."""
+    columns = [words.column(c).to_pylist() for c in ("numbers", "lengths", "payload")]
+    starts, sizes, flat = _word_table(list(zip(*columns, strict=True)))
+    found = []
+    for row in range(sequences.num_rows):
+        cells = {name: sequences.column(name)[row] for name in ("payload", "docs", "counts")}
+        sequence = unpacked(cells["payload"].as_py())
+        own = sizes[sequence]
+        counts = np.asarray(cells["counts"].as_py(), np.int64)
+        before = np.concatenate(([0], np.cumsum(own)))
+        offsets = before[np.concatenate(([0], np.cumsum(counts)))]
+        ids = flat[spans(starts[sequence], own)]
+        lists = pa.ListArray.from_arrays(offsets.astype(np.int32), ids)
+        found.append(pa.RecordBatch.from_arrays([cells["docs"].values, lists], ["key", "ids"]))
+    return pa.Table.from_batches(found)
 
 
 def _word_table(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,10 +299,48 @@ def _word_table(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, sizes, flat
 
 
+class TokenTable:
+    """The token-byte table, id by id, and the decimal form of every id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 1
+        tokens: list[bytes | None] = [None] * size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.known = np.array([t is not None for t in tokens], bool)
+        self.sizes = np.array([len(t or b"") for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
+        width = len(str(size)) + 1
+        self.decimals = np.array([f"{i} ".encode() for i in range(size)], f"S{width}")
+        self.decimals = self.decimals.view(np.uint8).reshape(size, width)
+
+    def decoded(self, ids: np.ndarray | None) -> bytes | None:
+        """The bytes of ``ids``; None if there are none or one of them is unknown."""
+        if ids is None or len(ids) and not 0 <= ids.min() <= ids.max() < len(self.known):
+            return None
+        if not self.known[ids].all():
+            return None
+        pieces = (ids[at : at + ROW_TOKENS] for at in range(0, len(ids), ROW_TOKENS))
+        return b"".join(
+            self.flat[spans(self.starts[piece], self.sizes[piece])].tobytes() for piece in pieces
+        )
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, joined by a space."""
+        pieces = (self.decimals[ids[at : at + ROW_TOKENS]] for at in range(0, len(ids), ROW_TOKENS))
+        return b"".join(digits[digits > 0].tobytes() for digits in pieces)[:-1]
+
+
 def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> Broadcast:
-    """The token-byte table, id by id.  It has as many rows as the vocabulary, whatever the input,
-    which is the proven bound for sending it to every executor."""
-    return spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    """It has as many rows as the vocabulary, whatever the input, which is the proven bound for
+    sending it to every executor."""
+    return spark.sparkContext.broadcast(TokenTable(ranks))
+
+
+def _id_rows(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    for ids in column:
+        yield ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else None
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -315,7 +352,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
 
     def run(batches):
         for batch in batches:
-            found = [_joined(own, table.value) for own in batch.column(ids).to_pylist()]
+            found = [table.value.decoded(own) for own in _id_rows(batch.column(ids))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"]
             )
@@ -323,15 +360,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
     return rows.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def _joined(ids: list[int] | None, table: dict[int, bytes]) -> bytes | None:
-    if ids is None:
-        return None
-    try:
-        return b"".join(map(table.__getitem__, ids))
-    except KeyError:
-        return None
-
-
 def digests(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id") -> DataFrame:
     """(``key``, n_tokens, ids_sha256, decoded_sha256): of the decimal ids joined by a space, and
     of the bytes that the ids decode to."""
@@ -339,23 +367,21 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id") ->
     id_type = encoded.schema[key].dataType.simpleString()
 
     def run(batches):
-        text = {i: str(i).encode() for i in table.value}.__getitem__
         for batch in batches:
-            rows = batch.column("ids").to_pylist()
+            sizes, of_ids, of_bytes = [], [], []
+            for ids in _id_rows(batch.column("ids")):
+                sizes.append(len(ids))
+                of_ids.append(hashlib.sha256(table.value.written(ids)).hexdigest())
+                data = table.value.decoded(ids)
+                of_bytes.append(None if data is None else hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(key),
-                    pa.array(map(len, rows), pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(map(text, r))).hexdigest() for r in rows]),
-                    pa.array([_sha256(_joined(r, table.value)) for r in rows], pa.string()),
+                    batch.column(key), pa.array(sizes, pa.int64()),
+                    pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()),
                 ],
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            )
 
     return encoded.select(key, "ids").mapInArrow(
         run, f"`{key}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-
-
-def _sha256(data: bytes | None) -> str | None:
-    return None if data is None else hashlib.sha256(data).hexdigest()
