@@ -17,7 +17,7 @@ def new_file(folder: str, suffix: str) -> Iterator[tuple[str, pa.NativeFile]]:
     uri = f"{folder.rstrip('/')}/{uuid.uuid4().hex}{suffix}"
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         yield uri, out
 
 

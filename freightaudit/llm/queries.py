@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightaudit.llm import bpe, fingerprints, language, quality, simhash, token_counts
+from freightaudit.llm import (
+    bpe,
+    fingerprints,
+    language,
+    quality,
+    simhash,
+    token_counts,
+    url_filter,
+    warc,
+)
 
 #: The end-of-document id, which the ranks leave free.
 END = 50256
@@ -32,6 +41,35 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+]
+
+
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality label of the document that it carries, whose number stands
+    in its url."""
+    document = F.regexp_extract(F.coalesce("url", F.lit("")), "/([0-9]+)", 1)
+    pages = table(spark, sf_dir, "pages").withColumn("_key", document.try_cast("long"))
+    outcomes = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("_key"), (1 - F.col("quality")).alias("bad")
+    )
+    return url_filter.judge(pages, outcomes, URL_RULES)
+
+
+def op6_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.make_valid_utf8(F.coalesce("html", F.lit(""))).cast("binary")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", payload.alias("payload"))
+    archives = warc.write_archives(warc.plan_records(pages))
+    return warc.read_archives(archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.document_token_counts(
@@ -69,6 +107,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_subword_quality": op2_subword_quality,
     "op3_quartile_digest": op3_quartile_digest,
+    "op5_host_reputation": op5_host_reputation,
+    "op6_dictionary_warc": op6_dictionary_warc,
     "op7_separator_scan": op7_separator_scan,
     "op8_rank_order_language": op8_rank_order_language,
     "op9_simhash": op9_simhash,
