@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freightaudit.llm import (
     bpe,
+    decontaminate,
     fingerprints,
     language,
     quality,
@@ -41,6 +42,13 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.drop("text_hash")
+
+
 #: The rules of the URL query.
 URL_RULES = [
     ("block", "net/"),
@@ -107,6 +115,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_subword_quality": op2_subword_quality,
     "op3_quartile_digest": op3_quartile_digest,
+    "op4_template_decontamination": op4_template_decontamination,
     "op5_host_reputation": op5_host_reputation,
     "op6_dictionary_warc": op6_dictionary_warc,
     "op7_separator_scan": op7_separator_scan,
