@@ -13,6 +13,7 @@ from freightaudit.llm import (
     decontaminate,
     fingerprints,
     language,
+    pii,
     quality,
     simhash,
     token_counts,
@@ -31,6 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_part(3) == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
@@ -113,6 +118,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_subword_quality": op2_subword_quality,
     "op3_quartile_digest": op3_quartile_digest,
     "op4_template_decontamination": op4_template_decontamination,
