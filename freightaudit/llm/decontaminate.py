@@ -228,6 +228,8 @@ def _compared_slots(docs: DataFrame, items: DataFrame, met: DataFrame) -> DataFr
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     found = contaminated(docs, benchmark)
-    bad = found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    bad = found.select("doc_id", "text_hash").distinct().toDF("bad_id", "bad_hash")
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (
+        F.xxhash64(docs["text"]) == bad["bad_hash"]
+    )
     return docs.join(bad, same, "left_anti")

@@ -180,9 +180,9 @@ class Ranks:
 
 
 def predict(
-    docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_id", text: str = "text"
+    docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
 ) -> DataFrame:
-    """``docs`` without its text, with lang_pred and score (0 to 1)."""
+    """``docs`` without its text, with lang_pred and score (0 to 1) in place of columns so named."""
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     rows = docs.select(*others, F.make_valid_utf8(text).alias(text))
     fields = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in others)

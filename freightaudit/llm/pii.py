@@ -305,6 +305,7 @@ def redact(docs: DataFrame) -> DataFrame:
         .drop("row")
         .dropDuplicates(["_doc", "_hash"])
     )
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
     text = F.make_valid_utf8("text")
 
@@ -315,10 +316,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     rest = F.substring(text, F.element_at("_spans", -1)["end"] + 1, F.char_length(text))
     changed = F.concat(F.array_join(F.transform("_spans", piece), ""), rest)
-    joined = docs.join(of_text, same, "left")
-    new = F.when(F.col("_spans").isNotNull(), changed).otherwise(F.col("text"))
-    chars = F.when(F.col("_spans").isNotNull(), F.char_length(changed).cast("long")).otherwise(
-        F.col("n_chars")
-    )
-    columns = {"text": new, "n_chars": chars}
-    return joined.select([columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    marked = F.col("_spans").isNotNull()
+    new = {"text": F.when(marked, changed).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(marked, F.char_length(changed).cast("long")).otherwise(
+            F.col("_row.n_chars")
+        )
+    joined = rows.join(of_text, same, "left")
+    return joined.select([new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

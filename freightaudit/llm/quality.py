@@ -180,7 +180,8 @@ class _Words(dict):
 
 
 def score(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with score (0 to 1) and predicted (1 from 0.5)."""
+    """``docs`` without its text, with score (0 to 1) and predicted (1 from 0.5) in place of columns
+    so named."""
     others = [c for c in docs.columns if c not in (text, "score", "predicted")]
     rows = docs.select(*others, F.make_valid_utf8(F.coalesce(text, F.lit(""))).alias(text))
     fields = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in others)

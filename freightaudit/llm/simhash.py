@@ -155,7 +155,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """(node, root): for every node of ``pairs`` (a, b), the smallest node that it reaches.
 
     Each round takes the smallest label among the neighbours and then that label's own label, so
-    labels jump; rounds grow with the logarithm of a chain's length.  Labels are written to the
+    labels jump and a chain takes far fewer rounds than it has links.  Labels are written to the
     shared folder after each round.
     """
     both = stored(
@@ -204,6 +204,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     Of repeated rows one stays.  Ids that are all null count as one document of their group."""
     groups = near_duplicates(docs)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
     return rows.dropDuplicates(["doc_id"])

@@ -64,10 +64,10 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .distinct()
         .withColumnsRenamed({"page_id": "_page", "digest": "_digest"})
     )
-    rows = pages.withColumn("_own", F.unhex(F.sha1("payload")))
+    rows = pages.select("page_id", "url", "payload", F.unhex(F.sha1("payload")).alias("own"))
     return rows.join(
         revisits,
-        F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_own") == F.col("_digest")),
+        F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("own") == F.col("_digest")),
         "left",
     ).select("page_id", "url", "payload", "refers_to")
 
