@@ -26,7 +26,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 import zstandard
 from pyspark.broadcast import Broadcast
@@ -53,46 +52,44 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def _code_points(kind: str) -> str:
-    """The code points below U+10000 of a class, as ranges for a pattern."""
-    matches, found, start = regex.compile(kind).match, [], None
-    for point in range(0x10001):
-        inside = point < 0x10000 and not 0xD800 <= point <= 0xDFFF and matches(chr(point))
-        if inside and start is None:
-            start = point
-        elif not inside and start is not None:
-            found.append(f"\\u{start:04x}-\\u{point - 1:04x}")
-            start = None
-    return "".join(found)
+def _code_points(kind: str, below: int) -> str:
+    """The code points below a bound of a class such as ``\\p{L}``, as ranges for a pattern.
+
+    The tokenizer library itself is asked, with one token a byte, since libraries differ in the
+    Unicode version they know: what it does not match it leaves out.
+    """
+    every = "".join(chr(p) for p in range(below) if not 0xD800 <= p <= 0xDFFF)
+    probe = tiktoken.Encoding(
+        "probe", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}
+    )
+    points = np.array([ord(c) for c in bytes(probe.encode_ordinary(every)).decode()])
+    breaks = np.flatnonzero(np.diff(points) > 1)
+    starts, ends = points[np.append(0, breaks + 1)], points[np.append(breaks, -1)]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
 @cache
-def splitter(pattern: str):
-    """A function from a text to its pre-tokens.
+def _finder(pattern: str, below: int):
+    """``findall`` of a pattern of the library, with its Unicode classes written out as ranges."""
+    classes = {kind: _code_points(kind, below) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+    written, inside = [], False
+    for piece in re.findall(r"\\p\{\w\}|\\[sS]|\\.|[\[\]]|[^\\\[\]]+", pattern):
+        if piece in "[]":
+            inside = piece == "["
+        elif piece in classes:
+            piece = classes[piece] if inside else f"[{classes[piece]}]"
+        elif piece == r"\S":
+            piece = f"[^{classes[r'\s']}]"
+        written.append(piece)
+    return re.compile("".join(written)).findall
 
-    Classes are written out as ranges, which is faster; texts with code points above U+FFFF, which
-    the ranges leave out, take the pattern as it is.
-    """
-    listed = {r"\p{L}": _code_points(r"\p{L}"), r"\p{N}": _code_points(r"\p{N}")}
-    spaces = _code_points(r"\s")
-    ranges, inside = pattern, False
-    written = []
-    tokens = re.findall(r"\\p\{\w\}|\\[sS]|\\.|[\[\]]|[^\\\[\]]+", ranges)
-    for token in tokens:
-        if token in "[]":
-            inside = token == "["
-            written.append(token)
-        elif token in listed:
-            written.append(listed[token] if inside else f"[{listed[token]}]")
-        elif token == r"\s":
-            written.append(spaces if inside else f"[{spaces}]")
-        elif token == r"\S":
-            written.append(f"[^{spaces}]")
-        else:
-            written.append(token)
-    fast, whole = re.compile("".join(written)).findall, regex.compile(pattern).findall
+
+def splitter(pattern: str):
+    """A function from a text to its pre-tokens.  Most texts have no code point above U+FFFF and
+    take classes cut off there, which match several times faster."""
     above = re.compile("[\U00010000-\U0010ffff]").search
-    return lambda text: whole(text) if above(text) else fast(text)
+    basic = _finder(pattern, 0x10000)
+    return lambda text: _finder(pattern, 0x110000)(text) if above(text) else basic(text)
 
 
 def encode(

@@ -66,8 +66,8 @@ def simhash(text: bytes) -> int:
 
 def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
     """Hashes of the shingles of a lower-cased text, some at a time."""
-    hashed, kept, first = xxhash.xxh64_intdigest, [], True
-    while text or first:
+    hashed, kept, none = xxhash.xxh64_intdigest, [], True
+    while text:
         words = text.split(None, CHUNK_WORDS)  # bytes split at \x20 and \x09-\x0D
         text = words.pop() if len(words) > CHUNK_WORDS else b""
         words = kept + words
@@ -80,9 +80,10 @@ def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
             yield np.array(
                 [hashed(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64
             )
-        elif words and first and not text:
+            none = False
+        elif words and none and not text:
             yield np.array([hashed(joined, SEED)], np.uint64)
-        kept, first = words[1 - SHINGLE_WORDS :], False
+        kept = words[1 - SHINGLE_WORDS :]
 
 
 def _segment_count(fp: Column, segment: int) -> Column:
