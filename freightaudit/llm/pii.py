@@ -277,7 +277,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets (spans that overlap by that of
-    the first), and ``n_chars`` of the new text.  Texts without spans are kept as they are."""
+    the longest), and ``n_chars`` of the new text.  Texts without spans are kept as they are."""
     scanned = scan(docs)
     here = Window.partitionBy("row").orderBy("start", "end").rowsBetween(
         Window.unboundedPreceding, -1
@@ -293,7 +293,7 @@ def redact(docs: DataFrame) -> DataFrame:
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
-            F.min_by("kind", F.struct("start", "end")).alias("kind"),
+            F.max_by("kind", F.struct(F.col("end") - F.col("start"), "kind")).alias("kind"),
         )
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))

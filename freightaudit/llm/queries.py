@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freightaudit.llm import (
     bpe,
+    checks,
     decontaminate,
     fingerprints,
     language,
@@ -130,4 +131,7 @@ QUERIES: dict[str, Query] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_host_reputation": checks.HOST_REPUTATION,
+    "op6_dictionary_warc": checks.DICTIONARY_WARC,
+}
