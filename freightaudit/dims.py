@@ -155,8 +155,6 @@ COMPARE_MARKERS = [
 ]
 SI_FALLBACK_MARKERS = ["shipping instruction", "submit si", "si details", "draft si"]
 INVOICE_SUBJECT_MARKERS = ["invoice", "billing", "payment"]
-REQUEST_BODY_CHARS = 2500
-PROMPT_TEXT_CHARS = 4000
 
 EXTRACTION_KEYS = [
     "shipper", "consignee", "notify_party", "vessel", "voyage", "port_of_loading",

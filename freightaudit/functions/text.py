@@ -153,12 +153,15 @@ def shipment_prompt(subject: Column, body: Column) -> Column:
     return F.concat(F.lit("Subject: "), subject, F.lit("\n\nBody:\n"), body)
 
 
-def document_prompt(text: Column, doc_type: Column) -> Column:
-    """The request text for one document; NULL (nothing to ask) for blank text."""
+def document_prompt(text: Column, doc_type: Column, text_chars: int | None = None) -> Column:
+    """The request text for one document; NULL (nothing to ask) for blank text.
+
+    The text is whole unless ``text_chars`` says how much of it the receiver takes.
+    """
     prompt = F.concat(
         F.lit("Document Type: "),
         doc_type,
         F.lit("\n\nDocument Text Content:\n"),
-        F.left(text, F.lit(dims.PROMPT_TEXT_CHARS)),
+        text if text_chars is None else F.left(text, F.lit(text_chars)),
     )
     return F.when(blank_to_null(text).isNotNull(), prompt)

@@ -150,25 +150,38 @@ def decide_comparison(joined: DataFrame) -> DataFrame:
     return decided.select("*", "_d.*").drop("_d")
 
 
-def comparison_inputs(classified: DataFrame) -> DataFrame:
-    """The narrow columns a decision needs; bodies do not travel through the joins."""
+def mail_inputs() -> dict[str, Column]:
+    """What a decision needs to know of a mail, whatever its category turns out to be."""
     attachments = F.coalesce("attachments", F.array().cast("array<string>"))
-    routed = F.col("category") == "BL_COMPARISON"
     several = F.size(attachments) >= 2
     paths = find_si_bl_paths(attachments)
+    return {
+        "attachment_count": F.size(attachments),
+        "asks_for_files": F.when(
+            ~several, needs_attachment_review(F.col("subject"), F.col("body"), attachments)
+        ),
+        "si_path": F.when(several, paths["si_path"]),
+        "bl_path": F.when(several, paths["bl_path"]),
+    }
+
+
+def routed_only(classified: DataFrame) -> DataFrame:
+    """The inputs of a comparison kept where the category asks for one."""
+    routed = F.col("category") == "BL_COMPARISON"
     return classified.withColumns(
-        {
-            "attachment_count": F.size(attachments),
-            "asks_for_files": F.when(
-                routed & ~several,
-                needs_attachment_review(F.col("subject"), F.col("body"), attachments),
-            ),
-            "si_path": F.when(routed & several, paths["si_path"]),
-            "bl_path": F.when(routed & several, paths["bl_path"]),
-        }
+        {c: F.when(routed, F.col(c)) for c in ("asks_for_files", "si_path", "bl_path")}
     )
 
 
+def comparison_inputs(classified: DataFrame) -> DataFrame:
+    """The narrow columns a decision needs; bodies do not travel through the joins."""
+    routed = F.col("category") == "BL_COMPARISON"
+    inputs = mail_inputs()
+    count = inputs.pop("attachment_count")
+    return classified.withColumns(
+        {"attachment_count": count} | {c: F.when(routed, v) for c, v in inputs.items()}
+    )
+
 def diff_frame(compared: DataFrame) -> DataFrame:
     """Seven display rows per compared mail."""
     return compared.select("email_id", F.explode("comparisons").alias("c")).select(

@@ -8,24 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 64
-SKETCH_ITEMS = 4096
+HOT_SHARE = 1000
 SALTS = 64
 
 
 def hot_keys(rows: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
-    """The most frequent values of ``key``: at most ``HOT_KEYS`` rows, whatever the input.
+    """Values of ``key`` with at least ``min_rows`` rows and one in ``HOT_SHARE`` of all rows: at
+    most ``HOT_SHARE`` values, whatever the input, so the result may be broadcast.
 
-    One pass with a mergeable frequent-items sketch; only that small sketch is shuffled.  The
-    estimate steers where rows go and never what the result is.
+    Counts are exact, combined map-side, and found by all tasks.  They steer where rows go and
+    never what the result is.
     """
-    top = F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {SKETCH_ITEMS})")
-    return (
-        rows.where(F.col(key).isNotNull())
-        .agg(top.alias("top"))
-        .select(F.explode("top").alias("t"))
-        .where(F.col("t.count") >= min_rows)
-        .select(F.col("t.item").alias(key))
-    )
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    return counts.where(
+        (F.col("_rows") >= min_rows) & (F.col("_rows") * HOT_SHARE >= total)
+    ).select(key)
 
 
 def spread_left_join(

@@ -6,6 +6,8 @@ no shuffle and no join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +148,13 @@ def has_si_bl_pair(attachments: Column) -> Column:
     )
 
 
+#: The columns that a rule decision adds to a mail.
+RULE_COLUMNS = [
+    "rule_category", "keyword_category", "routing_reason", "winning_score", "score_margin",
+    "ambiguous", "scores",
+]
+
+
 def classify_by_rules(mails: DataFrame, evidence: bool = False) -> DataFrame:
     """Adds the rule decision to every mail.
 
@@ -316,24 +325,32 @@ def intent_prefilter() -> Column:
     )
 
 
-def llm_request_rows(mails: DataFrame) -> DataFrame:
-    """The request text of every mail that the heuristics leave open."""
+def _json_text(value: Column) -> Column:
+    """A string as JSON writes it, non-ASCII characters escaped."""
+    listed = F.to_json(F.array(value), {"writeNonAsciiCharacterAsCodePoint": "true"})
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def llm_request_rows(mails: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """The request text of every mail that the heuristics leave open.
+
+    The body is whole unless ``body_chars`` says how much of it the receiver takes.
+    """
     subject, body = (X.strip(_or_empty(c)) for c in ("subject", "body"))
-    names = F.transform(
-        F.coalesce("attachments", X.no_strings()),
-        lambda a: F.concat(F.lit('"'), F.replace(a, F.lit('"'), F.lit('\\"')), F.lit('"')),
-    )
+    if body_chars is not None:
+        body = F.left(body, F.lit(body_chars))
+    names = F.transform(F.coalesce("attachments", X.no_strings()), _json_text)
     prompt = F.concat(
         F.lit("Subject: "), subject,
         F.lit("\nAttachments: ["), F.array_join(names, ", "),
-        F.lit("]\n\nEmail Body:\n"), F.left(body, F.lit(dims.REQUEST_BODY_CHARS)),
+        F.lit("]\n\nEmail Body:\n"), body,
     )
     return mails.where(intent_prefilter().isNull()).select("email_id", prompt.alias("prompt"))
 
 
 def parse_llm_category(response: Column) -> Column:
     """Category named in a JSON response: exact, else the first one contained, else NULL."""
-    raw = F.get_json_object(response, "$.category")
+    raw = F.try_variant_get(F.try_parse_json(response), "$.category", "string")
     category = X.strip(F.lower(raw))
     known = [c.lower() for c in dims.CATEGORIES]
     contained = [F.when(category.contains(c), F.lit(c.upper())) for c in known]
@@ -367,14 +384,24 @@ def cascade(
     llm_responses: DataFrame | None = None,
     threshold: float = dims.MODEL_THRESHOLD,
     evidence: bool = False,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Cheapest stage that can decide: file pair, model, LLM table, keywords.
 
     ``probabilities(email_id, probabilities MAP<STRING, DOUBLE>)`` and
     ``llm_responses(email_id, response)`` are optional stages.  Adds ``category``,
-    ``confidence``, ``source`` to the columns of ``classify_by_rules``.
+    ``confidence``, ``source`` to the columns of ``classify_by_rules``.  Whatever reads a text is
+    worked out before those tables are joined; with ``keep``, only the named columns of the mails
+    (and the rule decision) go through the joins.
     """
     rows = classify_by_rules(mails, evidence)
+    if llm_responses is not None:
+        rows = with_columns_once(
+            rows, {"_prefilter": intent_prefilter(), "_fallback": llm_fallback()}
+        )
+    if keep is not None:
+        early = [c for c in ("_prefilter", "_fallback") if c in rows.columns]
+        rows = rows.select("email_id", *keep, *RULE_COLUMNS, *early)
     if probabilities is None:
         rows = rows.withColumn("probabilities", F.lit(None).cast("map<string,double>"))
     else:
@@ -415,11 +442,12 @@ def cascade(
             decided(F.col("keyword_category"), confidence, "keyword_fallback")
         )
     else:
-        choice = choice.otherwise(decided(llm_stage(F.col("_response")), confidence, "llm"))
+        answered = F.coalesce("_prefilter", parse_llm_category(F.col("_response")), "_fallback")
+        choice = choice.otherwise(decided(answered, confidence, "llm"))
     rows = with_columns_once(rows, {"_choice": choice}).withColumns(
         {c: F.col(f"_choice.{c}") for c in ("category", "confidence", "source")}
     )
-    return rows.drop("_choice", "_top", "_response")
+    return rows.drop("_choice", "_top", "_response", "_prefilter", "_fallback")
 
 
 def low_conf_list(decisions: DataFrame) -> DataFrame:
