@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from freightaudit import dims
 from freightaudit.functions.text import WS, fold_text, strip
 
+# What counts as missing, the words for tonnes, and where a number stands.
 _MISSING = (
     "^(?:" + "|".join(dims.MISSING_WORDS) + r"|[_?\-.]*(?:kg|kgs|mt|mts)?)$"
 )
 _TONNES = r"(?U)\b(?:mt|mts|ton|tons|tonne|tonnes)\b"
 _TONNES_GLUED = r"(?U)(?<![a-z])(?:mt|mts|ton|tons|tonne|tonnes)\b"
-_NUMBER = r"(?<![a-z0-9])\d[\d, ]*(?:\.\d+)?"
+_NUMBER = r"(?<![a-z0-9])\p{Nd}[\p{Nd}, ]*(?:\.\p{Nd}+)?"
+
+#: Decimal digits of all scripts, by value.
+_DIGITS = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd"]
+
+
+def ascii_digits(text: Column) -> Column:
+    """``text`` with the decimal digits of other scripts as 0 to 9."""
+    values = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+    return F.translate(text, "".join(_DIGITS), values)
+
+
+def plain_number(digits: Column) -> Column:
+    """Digits with or without a point, without zeros that say nothing: ``007.50`` is ``7.5``."""
+    whole = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    part = F.regexp_replace(whole, r"(\.\d*?)0+$", "$1")
+    return F.regexp_replace(part, r"\.$", "")
 
 
 def folded_missing(folded: Column) -> Column:
@@ -26,40 +45,68 @@ def folded_text_value(folded: Column) -> Column:
     return F.when(~folded_missing(folded), F.nullif(letters, F.lit("")))
 
 
-def folded_container_count(folded: Column, glued_units: bool = False) -> Column:
-    """Number before ``x``, else the first standalone number.
-
-    ``6x40`` has no word boundary after the ``x`` and gives NULL; ``glued_units`` accepts it.
-    """
+def _count_digits(folded: Column, glued_units: bool) -> Column:
     before_x = r"(?U)\b(\d+)\s*[x×](?=\d|\b)" if glued_units else r"(?U)\b(\d+)\s*[x×]\b"
     digits = F.coalesce(
         F.nullif(F.regexp_extract(folded, before_x, 1), F.lit("")),
         F.nullif(F.regexp_extract(folded, r"(?U)\b\d+\b", 0), F.lit("")),
     )
-    return F.when(~folded_missing(folded), digits.try_cast("decimal(38,0)"))
+    return F.when(~folded_missing(folded), ascii_digits(digits))
 
 
-def folded_weight_kg(folded: Column, glued_units: bool = False) -> Column:
-    """Exact weight in kg.  ``138MT`` (no blank) counts as kg unless ``glued_units``."""
+def folded_count_text(folded: Column, glued_units: bool = False) -> Column:
+    """The count as plain digits, however many."""
+    return plain_number(_count_digits(folded, glued_units))
+
+
+def folded_container_count(folded: Column, glued_units: bool = False) -> Column:
+    """Number before ``x``, else the first standalone number.
+
+    ``6x40`` has no word boundary after the ``x`` and gives NULL; ``glued_units`` accepts it.
+    """
+    return _count_digits(folded, glued_units).try_cast("decimal(38,0)")
+
+
+def folded_weight_text(folded: Column, glued_units: bool = False) -> Column:
+    """The weight in kg as plain digits, exact at any length: tonnes move the point by three.
+
+    ``138MT`` (no blank) counts as kg unless ``glued_units``.
+    """
     number = F.regexp_replace(F.regexp_extract(folded, _NUMBER, 0), "[, ]", "")
-    exact = number.try_cast("decimal(28,9)")
+    number = F.nullif(ascii_digits(number), F.lit(""))
     tonnes = folded.rlike(_TONNES_GLUED if glued_units else _TONNES)
-    kilos = F.when(tonnes, exact * F.lit(1000).cast("decimal(4,0)")).otherwise(exact)
-    return F.when(~folded_missing(folded), kilos.cast("decimal(38,9)"))
+    pointed = F.concat(F.regexp_replace(number, r"^(\d+)$", "$1."), F.lit("000"))
+    moved = F.regexp_replace(pointed, r"^(\d+)\.(\d{3})", "$1$2.")
+    return F.when(
+        ~folded_missing(folded), plain_number(F.when(tonnes, moved).otherwise(number))
+    )
+
+
+def folded_weight_kg(folded: Column, glued_units: bool = False) -> Column:
+    """The weight in kg as a number of nine decimals, for arithmetic; NULL where it does not fit.
+    Comparisons take ``folded_weight_text``."""
+    return folded_weight_text(folded, glued_units).try_cast("decimal(38,9)")
 
 
 def json_value(number: Column) -> Column:
-    """Decimal as plain text without exponent and without trailing zeros."""
-    return F.regexp_replace(number.cast("string"), r"\.?0+$", "")
+    """Decimal as plain text without exponent and without trailing zeros behind the point."""
+    size = F.abs(number)
+    # from 1 on no decimal is written with an exponent, so a smaller one is written one higher
+    below = F.concat(
+        F.when(number < 0, F.lit("-")).otherwise(F.lit("")),
+        F.regexp_replace((size + 1).cast("string"), "^1", "0"),
+    )
+    plain = F.when(size < 1, below).otherwise(number.cast("string"))
+    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def folded_field_value(field: Column, folded: Column, glued_units: bool = False) -> Column:
     """The comparable text form of a value that is already folded."""
     return (
         F.when(
-            field == dims.COUNT_FIELD, folded_container_count(folded, glued_units).cast("string")
+            field == dims.COUNT_FIELD, folded_count_text(folded, glued_units)
         )
-        .when(field == dims.WEIGHT_FIELD, json_value(folded_weight_kg(folded, glued_units)))
+        .when(field == dims.WEIGHT_FIELD, folded_weight_text(folded, glued_units))
         .otherwise(folded_text_value(folded))
     )
 

@@ -325,12 +325,6 @@ def intent_prefilter() -> Column:
     )
 
 
-def _json_text(value: Column) -> Column:
-    """A string as JSON writes it, non-ASCII characters escaped."""
-    listed = F.to_json(F.array(value), {"writeNonAsciiCharacterAsCodePoint": "true"})
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
-
-
 def llm_request_rows(mails: DataFrame, body_chars: int | None = None) -> DataFrame:
     """The request text of every mail that the heuristics leave open.
 
@@ -339,11 +333,14 @@ def llm_request_rows(mails: DataFrame, body_chars: int | None = None) -> DataFra
     subject, body = (X.strip(_or_empty(c)) for c in ("subject", "body"))
     if body_chars is not None:
         body = F.left(body, F.lit(body_chars))
-    names = F.transform(F.coalesce("attachments", X.no_strings()), _json_text)
+    listed = F.to_json(
+        F.coalesce("attachments", X.no_strings()), {"writeNonAsciiCharacterAsCodePoint": "true"}
+    )
+    # quotes within a name are escaped, so this stands only between names
+    names = F.replace(listed, F.lit('","'), F.lit('", "'))
     prompt = F.concat(
         F.lit("Subject: "), subject,
-        F.lit("\nAttachments: ["), F.array_join(names, ", "),
-        F.lit("]\n\nEmail Body:\n"), body,
+        F.lit("\nAttachments: "), names, F.lit("\n\nEmail Body:\n"), body,
     )
     return mails.where(intent_prefilter().isNull()).select("email_id", prompt.alias("prompt"))
 

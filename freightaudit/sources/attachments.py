@@ -22,17 +22,26 @@ def scan_attachments(spark: SparkSession, root: str, glob: str | None = None) ->
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    marker = "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/"
+    whole = _qualified(spark, root)
     return reader.load(root).select(
-        F.substr(F.col("path"), F.instr("path", marker) + len(marker)).alias("path"),
-        "length",
-        "content",
+        F.substr(F.col("path"), F.lit(len(whole) + 2)).alias("path"), "length", "content"
     )
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as the file source writes it in front of its paths."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store.makeQualified(place).toString().rstrip("/")
+
+
 def needed_attachments(files: DataFrame, mails: DataFrame) -> DataFrame:
-    """Only files that some mail refers to; the semi join runs on paths before any decoding."""
-    refs = mails.select(F.explode("attachments").alias("path"))
+    """Only files that some mail refers to.
+
+    Paths alone are joined first, each once however many mails share it; the bytes are then
+    joined to that distinct list.
+    """
+    refs = mails.select(F.explode("attachments").alias("path")).distinct()
     return files.join(refs, "path", "left_semi")
 
 

@@ -38,10 +38,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def write_decisions(decisions: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> None:
-    """Decisions below ``path``, partitioned by run, so runs add up and can be replaced."""
+    """Decisions below ``path``, partitioned by run: runs add up, and a run written again replaces
+    its own rows."""
     (
         decisions.withColumn("run_id", F.lit(run_id))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .format(fmt)
         .save(path)
