@@ -57,6 +57,7 @@ def main() -> None:
         "low_confidence": lambda: review.low_confidence(pred),
         "stratified_folds": lambda: feature_queries.stratified_folds(spark, sf_dir),
         "word_tfidf": lambda: feature_queries.word_tfidf(spark, sf_dir),
+        "char_wb_tfidf": lambda: feature_queries.char_wb_tfidf(spark, sf_dir),
         "confusion": lambda: score_queries.confusion(spark, sf_dir),
     }
     times = {name: timed(name, build, runs) for name, build in queries.items()}

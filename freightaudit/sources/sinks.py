@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,12 +30,12 @@ def local_shared_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="freightaudit-"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: work is done once, lineage is cut,
-    and a lost executor costs a re-read."""
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back (as ``schema``, if given): work is done
+    once, lineage is cut, and a lost executor costs a re-read."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def write_decisions(decisions: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> None:
