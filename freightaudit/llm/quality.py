@@ -19,6 +19,7 @@ share for all; repeated rows are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +40,9 @@ RATE = 1.0
 #: The bucket of the event that a word repeats the one before it.
 REPEAT = 0
 #: Distinct words whose features a task remembers.
-MEMORY = 500_000
+MEMORY = 300_000
+#: Texts and new words that a task works on at a time.
+SLICE_ROWS, SLICE_WORDS = 500, 20_000
 
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +147,7 @@ def _train(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for label, buckets, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append((label, np.frombuffer(buckets, "<i4"), np.frombuffer(shares, np.float32)))
-    rows.sort(key=lambda row: (row[0], row[1].tobytes(), row[2].tobytes()))
+    rows.sort(key=lambda row: (row[0], zlib.crc32(row[1]), zlib.crc32(row[2])))
     classes = Counter(label for label, _, _ in rows)
     if len(classes) < 2:
         return
@@ -172,10 +175,14 @@ def _train(batches: Iterator[pa.RecordBatch]):
 
 
 class _Words(dict):
-    """Words to numbers in the order they first appear."""
+    """Words to numbers in the order they first appear, and the words that are new."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
+        self.new.append(word)
         return number
 
 
@@ -194,31 +201,35 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: np.ndarray, others: list[str], text: str):
-    """A word's features are looked up once and remembered as their sum and number."""
+    """A word's features are looked up once and remembered as their sum and number.  Texts and new
+    words are worked on some at a time, so a task's memory does not follow its batches."""
     numbers, sums, sizes = _Words(), np.empty(0), np.empty(0, np.int64)
     for batch in batches:
-        if len(numbers) > MEMORY:
-            numbers, sums, sizes = _Words(), np.empty(0), np.empty(0, np.int64)
-        before, number = len(numbers), numbers.__getitem__
-        sequences = []
-        for value in batch.column(text).to_pylist():
-            words = value.split()
-            sequences.append(np.fromiter(map(number, words), np.int32, len(words)))
-        new = list(numbers)[before:]
-        buckets, owner = word_features(new)
-        sums = np.append(sums, np.bincount(owner, model[buckets], len(new)))
-        sizes = np.append(sizes, np.bincount(owner, minlength=len(new)))
-        found = np.empty(len(sequences))
-        for i, sequence in enumerate(sequences):
-            repeats = int(np.count_nonzero(sequence[1:] == sequence[:-1]))
-            total = int(sizes[sequence].sum()) + repeats
-            summed = float(sums[sequence].sum()) + repeats * model[REPEAT]
-            found[i] = summed / total + model[-1] if total else model[-1]
-        found = 1 / (1 + np.exp(-np.clip(found, -60, 60)))
+        found = []
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            if len(numbers) > MEMORY:
+                numbers, sums, sizes = _Words(), np.empty(0), np.empty(0, np.int64)
+            number = numbers.__getitem__
+            sequences = []
+            for value in batch.column(text).slice(start, SLICE_ROWS).to_pylist():
+                words = value.split()
+                sequences.append(np.fromiter(map(number, words), np.int32, len(words)))
+            for at in range(0, len(numbers.new), SLICE_WORDS):
+                new = numbers.new[at : at + SLICE_WORDS]
+                buckets, owner = word_features(new)
+                sums = np.append(sums, np.bincount(owner, model[buckets], len(new)))
+                sizes = np.append(sizes, np.bincount(owner, minlength=len(new)))
+            numbers.new.clear()
+            for sequence in sequences:
+                repeats = int(np.count_nonzero(sequence[1:] == sequence[:-1]))
+                total = int(sizes[sequence].sum()) + repeats
+                summed = float(sums[sequence].sum()) + repeats * model[REPEAT]
+                found.append(summed / total + model[-1] if total else model[-1])
+        scores = 1 / (1 + np.exp(-np.clip(np.array(found), -60, 60)))
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(c) for c in others],
-                pa.array(found), pa.array((found >= 0.5).astype(np.int32)),
+                pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)),
             ],
             [*others, "score", "predicted"],
         )
