@@ -162,8 +162,10 @@ def document_token_counts(
     """(``key``, n_tokens): ``docs`` written to token files, and the files counted."""
     pieces = write_token_files(docs, ranks, pattern, end_id, key)
     files = pieces.groupBy("file").agg(F.sum("tokens").alias("tokens"))
-    order = pieces.select("file", "first", F.posexplode("docs").alias("pos", "key")).select(
-        "file", (F.col("first") + F.col("pos")).alias("ordinal"), F.col("key").alias(key)
+    # files have unique names of 32 hex digits, which make a shorter key than their whole path
+    name = F.unhex(F.regexp_extract("file", "([0-9a-f]{32})[^/]*$", 1)).alias("name")
+    order = pieces.select(name, "first", F.posexplode("docs").alias("pos", "key")).select(
+        "name", (F.col("first") + F.col("pos")).alias("ordinal"), F.col("key").alias(key)
     )
-    counts = count_tokens(files, end_id).select("file", "ordinal", "n_tokens")
-    return order.join(counts, ["file", "ordinal"]).select(key, "n_tokens")
+    counts = count_tokens(files, end_id).select(name, "ordinal", "n_tokens")
+    return order.join(counts, ["name", "ordinal"]).select(key, "n_tokens")
