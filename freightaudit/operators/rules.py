@@ -347,7 +347,10 @@ def llm_request_rows(mails: DataFrame, body_chars: int | None = None) -> DataFra
 
 def parse_llm_category(response: Column) -> Column:
     """Category named in a JSON response: exact, else the first one contained, else NULL."""
-    raw = F.try_variant_get(F.try_parse_json(response), "$.category", "string")
+    # as the only element of a list, a response with anything behind its object does not parse
+    listed = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    raw = F.when(alone, F.try_variant_get(listed, "$[0].category", "string"))
     category = X.strip(F.lower(raw))
     known = [c.lower() for c in dims.CATEGORIES]
     contained = [F.when(category.contains(c), F.lit(c.upper())) for c in known]
