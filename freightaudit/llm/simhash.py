@@ -198,13 +198,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lowest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = firsts.join(lowest, "root").select("fp", "component_id")
     return prints.join(of_fp, "fp").select(key, "fp", "component_id")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that with the smallest id.
-    Of repeated rows one stays.  Ids that are all null count as one document of their group."""
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])

@@ -66,6 +66,19 @@ def test_one_large_group_and_empty_table(spark):
     assert near_copies.representatives(cases.empty(spark)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    mill, other = cases.PASSAGE, "one two three four five six seven"
+    rows = [
+        (1, mill), (1, other), (2, other + "!"), (3, mill), (None, "first text of no id"),
+        (None, "second text of no id"), (None, "second text of no id"), (None, mill), (5, None),
+        (4, other), (4, "apart from " + other), (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = cases.collected(corpus_pipeline.near_duplicates(spark, docs, ""))
+    want = [*rows[:3], rows[4], rows[5], rows[8], rows[10]]
+    assert got == sorted(want, key=repr)
+
+
 def test_long_texts_in_chunks(monkeypatch):
     found = near_copies.shingles(" ".join(f"w{i}" for i in range(1000)).encode())
     whole = near_copies.band_keys(found)
