@@ -7,17 +7,20 @@ question asked again with other numbers or names still meets its item.  What mee
 the slots of an alignment are compared: one value of the item must stand for one value of the
 document throughout, and the other way round.  Alignments that break this are not copies and are
 dropped.  A document holds an item if the windows that are left cover ``MIN_COVERAGE`` of the
-item's windows.
+item's windows, or ``RUN`` consecutive tokens of it in one alignment.
 
-Windows with less than half words of their own (the rest placeholders) say nothing and are left out
-on the benchmark's side; an item of fewer than ``WINDOW`` tokens is one window.  All of it is
-DataFrame functions.  Only benchmark windows are broadcast, and only if there are at most
+Names are known by their capitals, which a copy in other case does not keep.  So the same is done a
+second time with lower-cased words that have placeholders for numbers and units only, and what
+either way finds counts.  Windows with less than half words of their own (the rest placeholders) say
+nothing as templates: they are left out the first time, and the second time compared by value, as
+are items of up to ``SHORT`` tokens.  An item of fewer than ``WINDOW`` tokens is one window.  All of
+it is DataFrame functions.  Only benchmark windows are broadcast, and only if there are at most
 ``MAX_BROADCAST``; beyond that the same join is a shuffle.
 
-Defined results: null texts and texts without words hold nothing; items without a window that
-counts are never found; equal items are found each; rows that share an id and a text are one
-document, rows that share only an id are judged apart and reported under it; null ids are reported
-as null; empty tables give an empty result; other columns are ignored.
+Defined results: null texts and texts without words hold nothing and are never found; items go by
+their text, and equal items are found each; rows that share an id and a text are one document, rows
+that share only an id are judged apart and reported under it; null ids of documents and items are
+reported as null; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from freightaudit.sources.sinks import stored
 
 WINDOW = 8
 MIN_COVERAGE = 0.5
+#: Consecutive tokens of an item that a document holds it by, however long the item is.
+RUN = 13
+#: Items of so few tokens are held only as they stand, without slots.
+SHORT = 2
 MAX_BROADCAST = 1_000_000
 
 NUMBER, NAME, UNIT = "1", "2", "3"
@@ -42,6 +49,8 @@ UNITS = [
 NUMBER_PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNIT_PATTERN = rf"(?i)( {NUMBER} ) *({'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)"
 NAME_PATTERN = r"([\p{Ll}0-9,;:(] +)(\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*)"
+#: A letter that stands for a point within a number.
+POINT = "\u02d0"
 BREAKS = r"[^\p{L}\p{N}]+"
 
 
@@ -79,6 +88,15 @@ def _placed(kind: str, values: Column, tokens: Column) -> Column:
     )
 
 
+def literal_slots(tokens: Column) -> Column:
+    """As ``slots``, of literal tokens."""
+    found = F.transform(
+        F.arrays_zip(slotted(tokens).alias("kind"), tokens.alias("value")),
+        lambda t, i: F.struct((i + 1).alias("at"), t["kind"].alias("kind"), t["value"].alias("value")),
+    )
+    return F.filter(found, lambda t: t["kind"].isin(NUMBER, UNIT))
+
+
 def windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
     """``rows`` (…, tokens) exploded to windows of the given sizes: at (from 1), hash.
 
@@ -109,20 +127,72 @@ def _starts(size: int) -> Column:
     )
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, at, hash, size): windows of the benchmark (item_id, tokens) that count."""
-    size = F.least(F.size("tokens"), F.lit(WINDOW))
-    placed = items.where(F.size("tokens") > 0).select(
-        "item_id",
-        "tokens",
-        size.alias("size"),
-        F.explode(F.sequence(F.lit(1), F.size("tokens") - size + 1)).alias("at"),
+def literal_tokens(text: Column) -> Column:
+    """The words and numbers of a text as they stand, in lower case; a number is one token."""
+    joined = F.regexp_replace(text, "(?<=[0-9])[.,:/](?=[0-9])", POINT)
+    spaced = F.regexp_replace(joined, f"[0-9]+(?:{POINT}[0-9]+)*", " $0 ")
+    return F.array_remove(F.split(F.lower(spaced), BREAKS), "")
+
+
+def slotted(tokens: Column) -> Column:
+    """Literal tokens with placeholders for numbers and the units behind them, but not for names."""
+    number = lambda t: (t >= "0") & (t < ":")
+    return F.transform(
+        tokens,
+        lambda t, i: F.when(number(t), NUMBER)
+        .when(t.isin(UNITS) & (i > 0) & number(F.get(tokens, i - 1)), UNIT)
+        .otherwise(t),
+    )
+
+
+def _own_words(cut: Column) -> Column:
+    return F.size(F.array_remove(F.array_remove(F.array_remove(cut, NUMBER), UNIT), NAME))
+
+
+def _literal_hash(tokens: str, plain: str, at: Column, size: Column) -> Column:
+    """The hash of a window without name placeholders: by value where placeholders outnumber words
+    and in very short windows, else with slots."""
+    cut = F.slice(plain, at, size)
+    by_value = (2 * _own_words(cut) < size) | (size <= SHORT)
+    return F.when(by_value, F.xxhash64(F.lit("v"), F.slice(tokens, at, size))).otherwise(
+        F.xxhash64(F.lit("s"), cut)
     )
-    cut = F.slice("tokens", F.col("at"), F.col("size"))
-    words = F.size(F.filter(cut, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    return placed.where(2 * words >= F.col("size")).select(
-        "item_id", "at", "size", F.xxhash64(cut).alias("hash")
+
+
+def literal_windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """As ``windows``, of ``rows`` (…, tokens) with literal tokens."""
+    kept = [c for c in rows.columns if c != "tokens"]
+    starts = F.concat(*[_starts(size) for size in sizes])
+    placed = rows.select("*", slotted(F.col("tokens")).alias("plain")).select(
+        *kept, "tokens", "plain", F.explode_outer(starts).alias("w")
     )
+    hashed = _literal_hash("tokens", "plain", F.col("w.at"), F.col("w.size"))
+    return placed.where("w is not null").select(*kept, F.col("w.at").alias("at"), hashed.alias("hash"))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item, literal, at, size, hash): windows of the benchmark (item, tokens, words) that count:
+    of the template those with enough words, without name placeholders all."""
+    found = []
+    for literal, column in ((False, "tokens"), (True, "words")):
+        size = F.least(F.size(column), F.lit(WINDOW))
+        placed = items.where(F.size(column) > 0).select(
+            "item",
+            F.col(column).alias("tokens"),
+            slotted(F.col(column)).alias("plain") if literal else F.lit(None).alias("plain"),
+            size.alias("size"),
+            F.explode(F.sequence(F.lit(1), F.size(column) - size + 1)).alias("at"),
+        )
+        if literal:
+            hashed = _literal_hash("tokens", "plain", F.col("at"), F.col("size"))
+        else:
+            cut = F.slice("tokens", F.col("at"), F.col("size"))
+            placed = placed.where((2 * _own_words(cut) >= F.col("size")) & (F.col("size") > SHORT))
+            hashed = F.xxhash64(cut)
+        found.append(
+            placed.select("item", F.lit(literal).alias("literal"), "at", "size", hashed.alias("hash"))
+        )
+    return found[0].union(found[1])
 
 
 def contaminated(
@@ -130,81 +200,120 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, windows, matched, slots, changed): every item that a document
     holds, how many windows the item has and how many were found, and how many slots were compared
-    and how many of them hold another value than the item's (0 for a plain copy)."""
+    and how many of them hold another value than the item's (0 for a plain copy).  The counts are
+    of the template, or of the windows without name placeholders where only these are held."""
+    named = benchmark.where("text is not null").select("item_id", "text").distinct()
+    named = named.withColumn("item", F.xxhash64("text"))
     items = stored(
-        benchmark.where("item_id is not null and text is not null").select(
-            "item_id", "text", template_tokens(F.col("text")).alias("tokens")
+        named.select("item", "text").dropDuplicates(["item"]).select(
+            "item",
+            "text",
+            template_tokens(F.col("text")).alias("tokens"),
+            literal_tokens(F.col("text")).alias("words"),
         )
     )
     known = stored(item_windows(items))
-    sizes = sorted(row.size for row in known.select("size").distinct().collect())
-    total = known.groupBy("item_id").agg(F.count("*").alias("windows"))
-    texts = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        template_tokens(F.col("text")).alias("tokens"),
-    )
-    wanted = known.select("item_id", F.col("at").alias("item_at"), "hash")
-    if known.count() <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
-    met = windows(texts, sizes or [WINDOW]).join(wanted, "hash")
+    sizes: dict[bool, list[int]] = {False: [], True: []}
+    for row in known.select("literal", "size").distinct().orderBy("size").collect():
+        sizes[row.literal].append(row.size)
+    total = known.groupBy("item", "literal").agg(F.count("*").alias("windows"))
+    wanted = known.select("item", "literal", F.col("at").alias("item_at"), "hash")
+    small = known.count() <= MAX_BROADCAST
+    found = []
+    for literal, cut, of_text in (
+        (False, windows, template_tokens), (True, literal_windows, literal_tokens),
+    ):
+        texts = docs.select(
+            "doc_id", F.xxhash64("text").alias("text_hash"), of_text(F.col("text")).alias("tokens")
+        )
+        own = wanted.where(F.col("literal") == literal)
+        own = F.broadcast(own) if small else own
+        found.append(cut(texts, sizes[literal] or [WINDOW]).join(own, "hash"))
+    met = found[0].unionByName(found[1])
     met = stored(
         met.select(
-            "doc_id", "text_hash", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("by")
+            F.col("doc_id").alias("_doc"),
+            "text_hash",
+            "item",
+            "literal",
+            "item_at",
+            (F.col("at") - F.col("item_at")).alias("by"),
         ).distinct()
     )
-    keys = ["_doc", "text_hash", "item_id"]
-    met = met.withColumnRenamed("doc_id", "_doc")
+    keys = ["_doc", "text_hash", "item", "literal"]
     compared = _compared_slots(docs, items, met)
     broken = compared.where("not consistent").select(*keys, "by")
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "by"]]
     sound = met.alias("m").join(broken.alias("b"), same, "left_anti")
-    matched = sound.groupBy(*keys, "item_at").agg(F.lit(1).alias("one")).groupBy(*keys).agg(
-        F.count("*").alias("matched")
-    )
-    held = matched.join(total, "item_id").where(F.col("matched") >= min_coverage * F.col("windows"))
+    placed = sound.groupBy(*keys, "by").agg(F.sort_array(F.collect_set("item_at")).alias("places"))
+    matched = placed.groupBy(*keys).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"),
+        F.max(_has_run(F.col("places"))).alias("run"),
+    )
+    held = matched.join(total, ["item", "literal"]).where(
+        F.col("run") | (F.col("matched") >= min_coverage * F.col("windows"))
+    )
     counted = (
         compared.where("consistent")
         .groupBy(*keys)
         .agg(F.sum("slots").alias("slots"), F.sum("changed").alias("changed"))
     )
     same = [F.col(f"h.{c}").eqNullSafe(F.col(f"c.{c}")) for c in keys]
-    return (
-        held.alias("h")
-        .join(counted.alias("c"), same, "left")
-        .select(
-            F.col("h._doc").alias("doc_id"),
-            "h.text_hash",
-            "h.item_id",
-            "windows",
-            "matched",
-            F.coalesce("slots", F.lit(0)).alias("slots"),
-            F.coalesce("changed", F.lit(0)).alias("changed"),
-        )
+    figures = F.struct(
+        F.col("h.literal").alias("literal"),
+        "windows",
+        "matched",
+        F.coalesce("slots", F.lit(0)).alias("slots"),
+        F.coalesce("changed", F.lit(0)).alias("changed"),
+    )
+    rows = held.alias("h").join(counted.alias("c"), same, "left").select(
+        *[F.col(f"h.{c}").alias(c) for c in keys[:-1]], figures.alias("f")
+    )
+    rows = rows.groupBy(*keys[:-1]).agg(F.min("f").alias("f"))
+    return rows.join(named.select("item", "item_id"), "item").select(
+        F.col("_doc").alias("doc_id"),
+        "text_hash",
+        "item_id",
+        *[F.col(f"f.{c}").alias(c) for c in ("windows", "matched", "slots", "changed")],
+    )
+
+
+def _has_run(places: Column) -> Column:
+    """Whether ``RUN`` consecutive tokens are found, by the sorted places of one alignment."""
+    more = RUN - WINDOW
+    return F.exists(
+        F.transform(places, lambda p, i: F.get(places, i + more) == p + more),
+        lambda whole: F.coalesce(whole, F.lit(False)),
     )
 
 
 def _compared_slots(docs: DataFrame, items: DataFrame, met: DataFrame) -> DataFrame:
     """For every alignment with slots: their number, how many hold another value than the item's,
     and whether values correspond one to one within each kind."""
-    item_slots = items.select(
-        "item_id", F.inline(slots(F.col("text"), F.col("tokens")))
-    ).toDF("item_id", "item_slot", "kind", "item_value")
-    keys = ["_doc", "text_hash", "item_id", "by"]
-    asked = (
-        met.join(item_slots, "item_id")
-        .where(F.col("item_slot").between(F.col("item_at"), F.col("item_at") + WINDOW - 1))
-        .select(*keys, "kind", "item_value", (F.col("item_slot") + F.col("by")).alias("at"))
-        .distinct()
-    )
-    values = docs.select(
-        F.xxhash64("text").alias("text_hash"),
-        F.inline(slots(F.col("text"), template_tokens(F.col("text")))),
-    ).distinct()
-    asked = stored(asked)
-    if asked.isEmpty():  # no alignment has a slot, so the documents' slots are not needed
-        values = values.limit(0)
-    pairs = asked.join(values, ["text_hash", "kind", "at"])
+    keys = ["_doc", "text_hash", "item", "literal", "by"]
+    found = []
+    for literal, of_text in (
+        (False, lambda text: slots(text, template_tokens(text))),
+        (True, lambda text: literal_slots(literal_tokens(text))),
+    ):
+        item_slots = items.select("item", F.inline(of_text(F.col("text")))).toDF(
+            "item", "item_slot", "kind", "item_value"
+        )
+        asked = (
+            met.where(F.col("literal") == literal)
+            .join(item_slots, "item")
+            .where(F.col("item_slot").between(F.col("item_at"), F.col("item_at") + WINDOW - 1))
+            .select(*keys, "kind", "item_value", (F.col("item_slot") + F.col("by")).alias("at"))
+            .distinct()
+        )
+        values = docs.select(
+            F.xxhash64("text").alias("text_hash"), F.inline(of_text(F.col("text")))
+        ).distinct()
+        asked = stored(asked)
+        if asked.isEmpty():  # no alignment has a slot, so the documents' slots are not needed
+            values = values.limit(0)
+        found.append(asked.join(values, ["text_hash", "kind", "at"]))
+    pairs = found[0].unionByName(found[1])
     return (
         pairs.groupBy(*keys, "kind")
         .agg(
