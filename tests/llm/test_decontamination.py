@@ -33,3 +33,15 @@ def test_other_numbers_in_capitals(spark):
     texts = [item.format(12, 3, 3), item.format(12, 3, 3).upper(), item.format(40, 7, 7).upper()]
     texts.append(item.format(40, 7, 8).upper())  # not one to one
     assert found(spark, [(1, item.format(12, 3, 3))], texts) == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_items_of_placeholders(spark):
+    items = [
+        (1, "12 + 7 - 3 = 16 or 17?"),
+        (2, "3.5 4.25 9 11 2 8 6 1 0 5 7 13 21 34"),
+        (3, "of Anna Berg, Carl Diaz, Eva Falk, Gus Hahn, Ida Jung, Kim Lund, Mia Nagy, Ole Pohl"),
+    ]
+    texts = ["so: " + text + " end" for _, text in items]
+    texts += ["12 + 7 - 3 = 16 or 18?", "3.5 4.25 9 11 3 8 6 2 0 5 7 14 21 34"]
+    texts += ["of Ann B, Cid D, Ed Fox, Gil Ho, Ira J, Kay Low, May Nil, Oz Pie", texts[2].upper()]
+    assert found(spark, items, texts) == {(0, 1), (1, 2), (2, 3), (6, 3)}
