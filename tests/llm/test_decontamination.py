@@ -45,3 +45,16 @@ def test_items_of_placeholders(spark):
     texts += ["12 + 7 - 3 = 16 or 18?", "3.5 4.25 9 11 3 8 6 2 0 5 7 14 21 34"]
     texts += ["of Ann B, Cid D, Ed Fox, Gil Ho, Ira J, Kay Low, May Nil, Oz Pie", texts[2].upper()]
     assert found(spark, items, texts) == {(0, 1), (1, 2), (2, 3), (6, 3)}
+
+
+def test_passages_of_long_items_and_short_items(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    items = [(1, " ".join(words)), (2, "12 sheep"), (3, "7"), (4, "Ewe")]
+    texts = [
+        "before " + " ".join(words[70:130]) + " after",
+        " ".join(words[70:83]),
+        " ".join(words[70:82]),
+        " ".join(words[i] for i in range(0, 200, 2)),
+        "there are 12 sheep", "there are 13 sheep", "there are 7", "there are 8", "an ewe", "few",
+    ]
+    assert found(spark, items, texts) == {(0, 1), (1, 1), (4, 2), (6, 3), (8, 4)}
