@@ -58,3 +58,13 @@ def test_passages_of_long_items_and_short_items(spark):
         "there are 12 sheep", "there are 13 sheep", "there are 7", "there are 8", "an ewe", "few",
     ]
     assert found(spark, items, texts) == {(0, 1), (1, 1), (4, 2), (6, 3), (8, 4)}
+
+
+def test_items_without_id_or_with_one_id(spark):
+    one = "the keeper of the mill counts every sack that leaves before the bell rings at night"
+    two = "nine villages by the river send their grain to be ground before the first snow falls"
+    texts = [one, "see: " + two, one + " and " + two, "neither"]
+    assert found(spark, [(None, one), (None, one), (5, two)], texts) == {
+        (0, None), (1, 5), (2, None), (2, 5),
+    }
+    assert found(spark, [(5, one), (5, two)], texts[:2]) == {(0, 5), (1, 5)}
