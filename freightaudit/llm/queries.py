@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightaudit.llm import (
+    alignment,
     bpe,
     checks,
     decontaminate,
@@ -19,12 +20,16 @@ from freightaudit.llm import (
     simhash,
     token_counts,
     url_filter,
+    variants,
     warc,
 )
 
 #: The end-of-document id, which the ranks leave free.
 END = 50256
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE, PIECE_BPE = (
+    public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +123,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded, ranks)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_subword_quality": op2_subword_quality,
@@ -129,6 +144,8 @@ QUERIES: dict[str, Query] = {
     "op8_rank_order_language": op8_rank_order_language,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
