@@ -90,3 +90,39 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM payloads
 """
+
+#: Every string of 100 bytes, as hex digits; removed bytes are the union of those that are not first.
+SUFFIX_DEDUP = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits,
+    octet_length(encode(coalesce(text, ''))) AS n_bytes
+  FROM documents),
+strings AS (
+  SELECT doc_id, s, hash(w) AS a, md5_number_lower(w) AS b
+  FROM (SELECT doc_id, s, substr(digits, 2 * s + 1, 200) AS w
+        FROM (SELECT doc_id, digits, unnest(range(greatest(n_bytes - 99, 0))) AS s FROM texts))),
+firsts AS (SELECT a, b, min((doc_id, s)) AS first FROM strings GROUP BY a, b HAVING count(*) > 1),
+later AS (
+  SELECT doc_id, s FROM strings JOIN firsts USING (a, b) WHERE (doc_id, s) > first),
+islands AS (
+  SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island
+  FROM (SELECT doc_id, s,
+          CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh
+        FROM later)),
+spans AS (
+  SELECT doc_id, min(s) AS start, max(s) + 100 AS stop FROM islands GROUP BY doc_id, island),
+edges AS (
+  SELECT doc_id, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS kept_from,
+    start AS kept_to
+  FROM spans
+  UNION ALL
+  SELECT doc_id, coalesce(max(stop), 0), any_value(n_bytes)
+  FROM texts LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(digits, 2 * kept_from + 1, 2 * (kept_to - kept_from)), ''
+    ORDER BY kept_from) AS digits, count(*) - 1 AS n_spans
+  FROM edges JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, n_bytes - length(kept.digits) // 2 AS n_removed, n_spans,
+  sha256(unhex(kept.digits)) AS kept_sha256
+FROM texts JOIN kept USING (doc_id)
+"""

@@ -17,6 +17,7 @@ from freightaudit.llm import (
     language,
     pii,
     quality,
+    repeats,
     simhash,
     token_counts,
     url_filter,
@@ -127,6 +128,16 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents")).select(
         "word", "form", "root", "n", "n_near", "form_n"
@@ -145,10 +156,12 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_alignment": op11_token_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_host_reputation": checks.HOST_REPUTATION,
     "op6_dictionary_warc": checks.DICTIONARY_WARC,
+    "op12_suffix_dedup": checks.SUFFIX_DEDUP,
 }
