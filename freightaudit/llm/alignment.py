@@ -70,7 +70,7 @@ class Tokenizers:
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both, of a text that begins with the blank that B puts in front."""
-        ours = self.a.encode(text, add_special_tokens=False).ids
+        ours = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return ours, self.b.encode(text[1:], num_threads=1)
 
 
@@ -93,18 +93,21 @@ def _tokenizers(byte_bpe: str, piece_bpe: str) -> Tokenizers:
     return Tokenizers(byte_bpe, piece_bpe)
 
 
-def align(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Groups and links of two lists of tokens of the same bytes, by where their tokens end: for
     each group the number of A's and of B's tokens up to its end, and for each link the index of A's
     and of B's token."""
-    a_index = dict(zip(a_ends, range(len(a_ends)), strict=True))
-    b_index = dict(zip(b_ends, range(len(b_ends)), strict=True))
+    a_index = dict(zip(a_ends.tolist(), range(len(a_ends)), strict=True))
+    b_index = dict(zip(b_ends.tolist(), range(len(b_ends)), strict=True))
     common = sorted(a_index.keys() & b_index.keys())
-    groups = np.array([(a_index[end] + 1, b_index[end] + 1) for end in common], np.int64)
+    groups = [
+        np.fromiter(map(index.__getitem__, common), np.int64, len(common)) + 1
+        for index in (a_index, b_index)
+    ]
     # tokens of a slice overlap in one run of bytes, which ends where either of them ends first
-    every = sorted(a_index.keys() | b_index.keys())
-    links = np.stack((np.searchsorted(a_ends, every), np.searchsorted(b_ends, every)), axis=1)
-    return groups.reshape(-1, 2), links
+    every = np.array(sorted(a_index.keys() | b_index.keys()), np.int64)
+    links = np.searchsorted(a_ends, every), np.searchsorted(b_ends, every)
+    return np.stack(groups, axis=1), np.stack(links, axis=1)
 
 
 #: Links as numbers: A's id above, B's below.
@@ -117,7 +120,7 @@ class Segments:
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
         self.number: dict[str, int] = {}
-        self.figures: list[list[int]] = []
+        self.figures = np.zeros((1024, 4), np.int64)  # grows by doubling
         self.texts: list[str | None] = []  # None: bytes that differ
         self.links: list[np.ndarray] = []
 
@@ -148,21 +151,25 @@ class Segments:
                 self._add(segments[half:])
                 return
             self.number[text] = len(self.number)
-            self.figures.append([0, 0, 0, 0])
+            self._put_figures(np.zeros((1, 4), np.int64))
             self.texts.append(None)
             self.links.append(np.empty(0, np.int64))
             return
-        groups, links = align(list(accumulate(map(len, a_tokens))), list(accumulate(map(len, b_tokens))))
         a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = (
+            np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            for tokens in (a_tokens, b_tokens)
+        )
+        groups, links = align(a_ends, b_ends)
         codes = a[links[:, 0]] << SHIFT | b[links[:, 1]]
         shown = self._shown(a, b, groups)
         ends = np.cumsum([len(s.encode()) for s in segments])
-        to_a = np.searchsorted(np.cumsum([len(t) for t in a_tokens]), ends) + 1
+        to_a = np.searchsorted(a_ends, ends) + 1
         to_group = np.searchsorted(groups[:, 0], to_a) + 1
         to_b = groups[to_group - 1, 1]
         to_link = np.searchsorted(links[:, 0], to_a)
         cuts = np.stack((to_a, to_b, to_group, to_link))
-        self.figures += np.diff(cuts, axis=1, prepend=0).T.tolist()
+        self._put_figures(np.diff(cuts, axis=1, prepend=0).T)
         at = link = 0
         for segment, to, link_to in zip(
             segments, (to_a + to_b).tolist(), to_link.tolist(), strict=True
@@ -172,6 +179,13 @@ class Segments:
             self.links.append(codes[link:link_to])
             at, link = to, link_to
 
+    def _put_figures(self, rows: np.ndarray) -> None:
+        """Figures of the next segments, before their texts are added."""
+        end = len(self.texts) + len(rows)
+        while end > len(self.figures):
+            self.figures = np.concatenate((self.figures, np.zeros_like(self.figures)))
+        self.figures[end - len(rows) : end] = rows
+
     def _shown(self, a: np.ndarray, b: np.ndarray, groups: np.ndarray) -> list[str]:
         """The ids of both as they are written, group by group, with the sign behind each."""
         to_a, to_b = groups.T
@@ -251,7 +265,7 @@ def _aligned(texts: list[str | None], segments: Segments, totals: list) -> list[
             rows.append((0, 0, 0, 0, "", None, None))
             continue
         distinct, times = np.unique(numbers, return_counts=True)
-        figures = times @ np.array([segments.figures[i] for i in distinct.tolist()], np.int64)
+        figures = times @ segments.figures[distinct]
         totals.append((distinct, times))
         digest = hashlib.sha256(";".join(parts).encode()).hexdigest()
         rows.append((*figures.tolist(), digest, distinct, times))
@@ -267,14 +281,23 @@ def _doc_rows(block: int, keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         keys,
         *[pa.array(column, longs) for column in columns[:4]],
         pa.array(columns[4], pa.string()),
-        pa.array(columns[5], ints),
-        pa.array(columns[6], ints),
+        _int_lists(columns[5]),
+        _int_lists(columns[6]),
         *[none.cast(pa.list_(longs))] * 2,
         *[none.cast(ints)] * 2,
     ]
     return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
+def _int_lists(lists: tuple) -> pa.ListArray:
+    """An array of lists from arrays; None gives a null."""
+    sizes = [0 if own is None else len(own) for own in lists]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+    none = pa.array([own is None for own in lists], pa.bool_())
+    values = np.concatenate([np.empty(0, np.int64), *[own for own in lists if own is not None]])
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)), mask=none)
+
+
 _NAMES = [
     "block", "key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "segments", "times",
     "pairs", "pair_times", "starts", "places",
