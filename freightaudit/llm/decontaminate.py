@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightaudit.functions.once import with_columns_once
 from freightaudit.sources.sinks import stored
 
 WINDOW = 8
@@ -97,34 +98,38 @@ def literal_slots(tokens: Column) -> Column:
     return F.filter(found, lambda t: t["kind"].isin(NUMBER, UNIT))
 
 
-def windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """``rows`` (…, tokens) exploded to windows of the given sizes: at (from 1), hash.
+#: A window's number is its start, plus this for every size before its own.
+_STARTS = 1 << 40
+
+
+def placed(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` (…, tokens) exploded to windows of the given sizes: at (from 1), size.
 
-    The outer explode keeps the optimizer from copying ``tokens`` into a filter of its own.
+    Windows are exploded from plain sequences: with a lambda in that step, Spark would copy a text's
+    arrays for every window of it, which is quadratic in the length of the text.  The outer explode
+    keeps the optimizer from copying ``tokens`` into a filter of its own.
     """
-    starts = F.concat(*[_starts(size) for size in sizes])
+    count = F.size("tokens").cast("long")
+    numbers = [
+        F.when(
+            count >= size, F.sequence(F.lit(i * _STARTS + 1), i * _STARTS + count - (size - 1))
+        ).otherwise(F.array().cast("array<bigint>"))
+        for i, size in enumerate(sizes)
+    ]
+    number = F.explode_outer(F.concat(*numbers)).alias("w")
+    size = F.lit(sizes[0])
+    for i, other in enumerate(sizes[1:], 1):
+        size = F.when(F.col("w") >= i * _STARTS, other).otherwise(size)
+    found = rows.select("*", number).where("w is not null")
+    at = (F.col("w") % _STARTS).cast("int").alias("at")
+    return found.select(*rows.columns, at, size.alias("size"))
+
+
+def windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` (…, tokens) exploded to windows of the given sizes: at (from 1), hash."""
     kept = [c for c in rows.columns if c != "tokens"]
-    if len(sizes) == 1:
-        at = F.when(
-            F.size("tokens") >= sizes[0], F.sequence(F.lit(1), F.size("tokens") - (sizes[0] - 1))
-        )
-        placed = rows.select(*kept, "tokens", F.explode_outer(at).alias("at"))
-        cut = F.slice("tokens", F.col("at"), sizes[0])
-    else:
-        placed = rows.select(*kept, "tokens", F.explode_outer(starts).alias("w"))
-        placed = placed.select(*kept, "tokens", F.col("w.at").alias("at"), F.col("w.size").alias("n"))
-        cut = F.slice("tokens", F.col("at"), F.col("n"))
-    return placed.where("at is not null").select(*kept, "at", F.xxhash64(cut).alias("hash"))
-
-
-def _starts(size: int) -> Column:
-    count = F.size("tokens") - (size - 1)
-    placed = F.transform(
-        F.sequence(F.lit(1), count), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"))
-    )
-    return F.when(count > 0, placed).otherwise(
-        F.array().cast("array<struct<at:int,size:int>>")
-    )
+    cut = F.slice("tokens", F.col("at"), F.col("size"))
+    return placed(rows, sizes).select(*kept, "at", F.xxhash64(cut).alias("hash"))
 
 
 def literal_tokens(text: Column) -> Column:
@@ -162,12 +167,9 @@ def _literal_hash(tokens: str, plain: str, at: Column, size: Column) -> Column:
 def literal_windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
     """As ``windows``, of ``rows`` (…, tokens) with literal tokens."""
     kept = [c for c in rows.columns if c != "tokens"]
-    starts = F.concat(*[_starts(size) for size in sizes])
-    placed = rows.select("*", slotted(F.col("tokens")).alias("plain")).select(
-        *kept, "tokens", "plain", F.explode_outer(starts).alias("w")
-    )
-    hashed = _literal_hash("tokens", "plain", F.col("w.at"), F.col("w.size"))
-    return placed.where("w is not null").select(*kept, F.col("w.at").alias("at"), hashed.alias("hash"))
+    both = with_columns_once(rows, {"plain": slotted(F.col("tokens"))})
+    hashed = _literal_hash("tokens", "plain", F.col("at"), F.col("size"))
+    return placed(both, sizes).select(*kept, "at", hashed.alias("hash"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -306,12 +308,11 @@ def _compared_slots(docs: DataFrame, items: DataFrame, met: DataFrame) -> DataFr
             .select(*keys, "kind", "item_value", (F.col("item_slot") + F.col("by")).alias("at"))
             .distinct()
         )
-        values = docs.select(
-            F.xxhash64("text").alias("text_hash"), F.inline(of_text(F.col("text")))
-        ).distinct()
         asked = stored(asked)
-        if asked.isEmpty():  # no alignment has a slot, so the documents' slots are not needed
-            values = values.limit(0)
+        # only texts of which an alignment has a slot are read for their slots
+        texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+        texts = texts.join(asked.select("text_hash").distinct(), "text_hash", "left_semi")
+        values = texts.select("text_hash", F.inline(of_text(F.col("text")))).distinct()
         found.append(asked.join(values, ["text_hash", "kind", "at"]))
     pairs = found[0].unionByName(found[1])
     return (
