@@ -17,7 +17,7 @@ languages go to the first by name; repeated rows are kept; an empty table gives
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,7 +30,11 @@ from pyspark.sql.window import Window
 PROFILE = 400
 UNKNOWN = "und"
 #: Characters that are counted at a time, which bounds memory for very long texts.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 250_000
+#: Cells of a table of counts, and chunks whose counts are added up at a time.
+CELLS, CHUNKS = 2_000_000, 32
+#: Slices of a language's n-grams that are put in order apart.
+SLICES = 64
 
 
 @cache
@@ -62,22 +66,62 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     triples around a letter."""
     if len(codes) <= CHUNK_CHARS:
         return _counted(codes)
-    grams, counts = [], []
-    for start in range(0, len(codes), CHUNK_CHARS):
+    return _added(
+        (codes[max(0, start - 2) : stop], sign)
+        for start in range(0, len(codes), CHUNK_CHARS)
         # a chunk sees the two places before it; what lies wholly in those was counted already
-        for chunk, sign in (
-            (codes[max(0, start - 2) : start + CHUNK_CHARS], 1),
-            (codes[max(0, start - 2) : start], -1),
-        ):
-            found, times = _counted(chunk)
-            grams.append(found)
-            counts.append(sign * times)
-    grams, place = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.zeros(len(grams), np.int64)
-    np.add.at(total, place, np.concatenate(counts))
+        for stop, sign in ((start + CHUNK_CHARS, 1), (start, -1))
+    )
+
+
+def counts_of(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``counted`` over texts, of which short ones are counted together and long ones in chunks."""
+    return _added(chunk for part in _joined(texts) for chunk in _chunks(part))
+
+
+def _joined(texts: Iterable[str]) -> Iterator[str]:
+    kept, size = [], 0
+    for text in texts:
+        if kept and size + len(text) > CHUNK_CHARS:
+            yield "\n".join(kept)
+            kept, size = [], 0
+        kept.append(text)
+        size += len(text) + 1
+    if kept:
+        yield "\n".join(kept)
+
+
+def _chunks(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    for start in range(0, max(1, len(text)), CHUNK_CHARS):
+        stop = start + CHUNK_CHARS
+        codes = letters_of(text[max(0, start - 2) : stop])
+        # the places before and after a text are those of its first and last chunk
+        yield codes[int(start > 0) : len(codes) - int(stop < len(text))], 1
+        if start:
+            yield letters_of(text[max(0, start - 2) : start])[1:-1], -1
+
+
+def _added(chunks: Iterable[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of chunks added up, or taken off."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for codes, sign in chunks:
+        grams, counts = _counted(codes)
+        parts.append((grams, sign * counts))
+        if len(parts) == CHUNKS:
+            parts = [_summed(parts)]
+    if not parts:
+        return _counted(np.empty(0, np.int64))
+    grams, total = parts[0] if len(parts) == 1 else _summed(parts)
     return grams[total > 0], total[total > 0]
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    total = np.zeros(len(grams), np.int64)
+    np.add.at(total, place, np.concatenate([c for _, c in parts]))
+    return grams, total
+
+
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(codes):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -86,7 +130,7 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if alphabet[0]:
         alphabet = np.concatenate(([0], alphabet))
     size = len(alphabet)
-    if size**3 > 16 * len(codes) + 100_000:
+    if size**3 > min(CELLS, 16 * len(codes) + 100_000):
         left, right = codes[:-1], codes[1:]
         two = (left << 20 | right | TWO)[(left > 0) | (right > 0)]
         three = codes[:-2] << 40 | codes[1:-1] << 20 | codes[2:] | THREE
@@ -119,8 +163,8 @@ def top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict:
     """language -> its n-grams in order, from all rows of ``docs`` with a text and a language.
 
-    Counts are summed per batch, then in Spark; a language's first ``size`` rows are found by a
-    window whose tasks keep no more than that each.
+    Counts are summed per batch, then in Spark; a language's first ``size`` rows are among those of
+    its ``SLICES`` slices, so no task gets more than that many rows for each of them.
     """
     rows = docs.select(
         F.col(lang).cast("string").alias("lang"), F.make_valid_utf8(text).alias("text")
@@ -130,8 +174,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    order = [F.desc("n"), F.col("gram")]
+    part = F.pmod(F.xxhash64("gram"), F.lit(SLICES))
+    ranked = counts.withColumn("slice", part)
+    for group in (["lang", "slice"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= size)
     profiles: dict[str, list] = {}
     for row in ranked.orderBy("lang", "rank").collect():
         profiles.setdefault(row.lang, []).append(row.gram)
@@ -145,7 +193,7 @@ def _counts(batches: Iterator[pa.RecordBatch]):
         for name, text in rows:
             languages.setdefault(name, []).append(text)
         for name, texts in languages.items():
-            grams, counts = counted(letters_of("\n".join(texts)))
+            grams, counts = counts_of(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(grams)), pa.array(grams), pa.array(counts)],
                 ["lang", "gram", "n"],
@@ -166,10 +214,10 @@ class Ranks:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """The nearest language and how near it is: 1 at no distance, 0 at the largest."""
-        codes = letters_of(text or "")
-        if not self.names or not codes.any():
+        grams, counts = counts_of([text or ""])
+        if not self.names or not len(grams):
             return UNKNOWN, 0.0
-        own = top(*counted(codes), self.size)
+        own = top(grams, counts, self.size)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         known = self.grams[at] == own
         ranks = np.where(known[:, None], self.ranks[at], -1)
