@@ -16,8 +16,8 @@ in some 33.  The strings with one anchor lie side by side; together they are its
    splitters, by leading bytes and then by place, so a frequent suffix is spread over buckets.  A
    bucket sorts the strings of its suffixes by multikey quicksort: by eight bytes at a time, and only
    among strings that are equal so far.  Strings that are equal to the end are repeats of the first.
-3. The first and the last token of a bucket may go on in its neighbours.  Strings with these tokens
-   that are first in their bucket are compared across buckets.
+3. A string that is first in its bucket may have equals in another one only if, behind its anchor, it
+   is as the bucket's first or last suffix.  Such strings are compared across buckets, by digest.
 4. What was found goes back to the blocks, which are read again and cut.
 
 Hashes decide in steps 1 and 3, over 128 bits (token and context; a digest), bytes in step 2.
@@ -351,17 +351,9 @@ def _merged(
 # 2. buckets
 
 
-class Strings(NamedTuple):
-    """The strings of suffixes: number of the suffix, place in ``data``, start in the text."""
-
-    of: np.ndarray
-    place: np.ndarray
-    start: np.ndarray
-
-
-def _bucket(batches: Iterator[pa.RecordBatch]):
-    """A bucket's repeats as spans by block, and the strings with its first and last token that are
-    to be compared across buckets."""
+def _bucket(batches: Iterator[pa.RecordBatch], parts: int):
+    """A bucket's repeats as spans by block, and its strings that may stand in another bucket too,
+    by part of the digests."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
@@ -370,65 +362,81 @@ def _bucket(batches: Iterator[pa.RecordBatch]):
     rank, block = rows.column("rank").to_numpy(), rows.column("block").to_numpy()
     row, first = rows.column("row").to_numpy(), rows.column("first").to_numpy()
     data = b"".join(f + s for f, s in zip(fronts, suffixes, strict=True))
-    sizes = np.fromiter((len(f) + len(s) for f, s in zip(fronts, suffixes, strict=True)), np.int64)
+    ahead = np.fromiter(map(len, fronts), np.int64, len(rows))
+    sizes = ahead + np.fromiter(map(len, suffixes), np.int64, len(rows))
     counts = sizes - LENGTH + 1
     of = np.repeat(np.arange(len(rows)), counts)
     step = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     place = np.repeat(np.cumsum(sizes) - sizes, counts) + step
-    strings = Strings(of, place, first[of] + step)
-    order, group = multikey_sort(np.frombuffer(data, np.uint8), strings.place)
+    start = first[of] + step
+    order, group = multikey_sort(np.frombuffer(data, np.uint8), place)
     later = np.zeros(len(of), bool)
-    own = strings.of[order]
-    by = np.lexsort((strings.start[order], row[own], block[own], rank[own], group))
-    order, group, own = order[by], group[by], own[by]
-    new = np.ones(len(order), bool)
+    later[order] = _not_first(order, group, of, rank, block, row, start)
+    gone = np.flatnonzero(later)
+    for one, spans in _by_block(block[of[gone]], row[of[gone]], start[gone]):
+        yield _bucket_row([*spans, *[None] * 6], one)
+    # of what stands behind the anchor, as much as a string has must be as in the bucket's edge
+    behind = LENGTH - ahead[of] + step
+    left = np.flatnonzero((_shared_with_edges(suffixes)[of] >= behind) & ~later)
+    digests = b"".join(
+        xxhash.xxh3_128_digest(data[p : p + LENGTH]) for p in place[left].tolist()
+    )
+    digests, own = np.frombuffer(digests, "<u8").reshape(-1, 2), of[left]
+    home = (digests[:, 0] % np.uint64(parts)).astype(np.int64)
+    for part in np.unique(home):
+        some = home == part
+        columns = (digests[some], rank[own[some]], block[own[some]], row[own[some]], start[left[some]])
+        packed = [np.ascontiguousarray(c).astype(c.dtype.newbyteorder("<")).tobytes() for c in columns]
+        yield _bucket_row([None] * 3 + [int(part), *packed], None)
+
+
+def _not_first(order, group, of, rank, block, row, start) -> np.ndarray:
+    """Of strings in groups of equals: whether an equal one has a smaller id, or stands further to
+    the front of the same text."""
+    own = of[order]
+    by = np.lexsort((start[order], row[own], block[own], rank[own], group))
+    group, own = group[by], own[by]
+    new = np.ones(len(by), bool)
     new[1:] = group[1:] != group[:-1]
     same_row = ~new
     same_row[1:] &= (block[own[1:]] == block[own[:-1]]) & (row[own[1:]] == row[own[:-1]])
     least = rank[own][new][np.cumsum(new) - 1]
-    later[order] = (rank[own] > least) | same_row
-    gone = np.flatnonzero(later)
-    gone = gone[np.argsort(block[of[gone]], kind="stable")]
-    blocks, cuts = np.unique(block[of[gone]], return_index=True)
-    for one, here in zip(blocks.tolist(), np.split(gone, cuts[1:]), strict=False):
-        yield _bucket_rows(one, row[of[here]], strings.start[here])
-    edges = {suffixes[i][:TOKEN] for i in _ends_of(suffixes)}
-    open_row = np.fromiter((s[:TOKEN] in edges for s in suffixes), bool, len(suffixes))
-    left = np.flatnonzero(open_row[of] & ~later)
-    digests = [
-        xxhash.xxh3_128_digest(data[p : p + LENGTH]) for p in strings.place[left].tolist()
-    ]
-    own = of[left]
-    nulls = pa.nulls(len(left), pa.list_(pa.int32()))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(block[own]), nulls, nulls, nulls, pa.array(digests, pa.binary()),
-            pa.array(rank[own]), pa.array(row[own]), pa.array(strings.start[left], pa.int32()),
-        ],
-        _SORTED,
-    )
-
-
-_SORTED = ["block", "rows", "starts", "ends", "digest", "rank", "row", "start"]
+    found = np.empty(len(by), bool)
+    found[by] = (rank[own] > least) | same_row
+    return found
+
+
+def _shared_with_edges(suffixes: list[bytes]) -> np.ndarray:
+    """How many leading bytes each suffix shares with the first or the last of them: no more can it
+    share with any suffix of another bucket."""
+    padded = np.array(suffixes, f"S{LENGTH}").view(np.uint8).reshape(-1, LENGTH)
+    sizes = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
+    found = np.zeros(len(suffixes), np.int64)
+    for edge in (suffixes.index(min(suffixes)), suffixes.index(max(suffixes))):
+        other = np.ones((len(suffixes), LENGTH + 1), bool)
+        other[:, :LENGTH] = padded != padded[edge]
+        found = np.maximum(found, other.argmax(axis=1))
+    return np.minimum(found, sizes)
+
+
+_SORTED = [
+    "block", "rows", "starts", "ends", "part", "digests", "rank", "of_block", "row", "start",
+]
+_OPENED = "part long, digests binary, rank binary, of_block binary, row binary, start binary"
 
 
-def _ends_of(suffixes: list[bytes]) -> tuple[int, int]:
-    numbers = range(len(suffixes))
-    return min(numbers, key=suffixes.__getitem__), max(numbers, key=suffixes.__getitem__)
+def _bucket_row(values: list, block: int | None) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.list_(pa.int32())] * 3, pa.int64(), *[pa.binary()] * 5]
+    arrays = [pa.array([v], kind) for v, kind in zip([block, *values], kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, _SORTED)
 
 
-def _bucket_rows(block: int, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """The spans of a block in one row."""
-    columns = _merged(row, start, start + LENGTH)
-    ints = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([block], pa.int64()), *[pa.array([c], ints) for c in columns],
-            pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
-            pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()),
-        ],
-        _SORTED,
-    )
+def _by_block(block: np.ndarray, row: np.ndarray, start: np.ndarray):
+    """(block, (rows, starts, ends)) of strings that go, by block."""
+    order = np.argsort(block, kind="stable")
+    blocks, cuts = np.unique(block[order], return_index=True)
+    for one, here in zip(blocks.tolist(), np.split(order, cuts[1:]), strict=False):
+        yield one, _merged(row[here], start[here], start[here] + LENGTH)
 
 
 def multikey_sort(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -455,18 +463,29 @@ def multikey_sort(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.n
 # 3. and 4.
 
 
-def _across(opened: DataFrame) -> DataFrame:
-    """Spans of strings that another bucket has earlier."""
-    lows = opened.groupBy("digest").agg(F.min("rank").alias("low"), F.count("*").alias("times"))
-    lows = lows.where("times > 1").drop("times")
-    rows = opened.groupBy("digest", "block", "row").agg(F.min("start").alias("own"))
-    found = opened.join(lows, "digest").join(rows, ["digest", "block", "row"])
-    found = found.where((F.col("rank") > F.col("low")) | (F.col("start") > F.col("own")))
-    return found.select(
-        "block",
-        F.array("row").alias("rows"),
-        F.array("start").alias("starts"),
-        F.array(F.col("start") + LENGTH).alias("ends"),
+def _across(rows: pa.Table) -> pa.Table:
+    """Spans of a part's strings that another bucket has earlier."""
+    rank, block = _joined(rows, "rank", np.int64), _joined(rows, "of_block", np.int64)
+    row, start = _joined(rows, "row", np.int32), _joined(rows, "start", np.int64)
+    digests = _joined(rows, "digests", np.uint64).reshape(-1, 2)
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (digests[order[1:]] != digests[order[:-1]]).any(axis=1)
+    later = np.zeros(len(order), bool)
+    later[order] = _not_first(
+        order, np.cumsum(new) - 1, np.arange(len(order)), rank, block, row, start
+    )
+    gone = np.flatnonzero(later)
+    found = list(_by_block(block[gone], row[gone], start[gone]))
+    ints = pa.list_(pa.int32())
+    return pa.table(
+        {
+            "block": pa.array([one for one, _ in found], pa.int64()),
+            **{
+                name: pa.array([spans[i] for _, spans in found], ints)
+                for i, name in enumerate(("rows", "starts", "ends"))
+            },
+        }
     )
 
 
@@ -531,14 +550,14 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     buckets = 1 + suffixes.count() // BUCKET_ROWS
     ordered = suffixes.repartitionByRange(buckets, "suffix", "rank", "block", "row", "first")
     in_order = stored(
-        ordered.mapInArrow(_bucket, f"{_SPANS}, digest binary, rank long, row int, start int")
+        ordered.mapInArrow(lambda batches: _bucket(batches, buckets), f"{_SPANS}, {_OPENED}")
     )
     span_columns = ["block", "rows", "starts", "ends"]
-    opened = in_order.where("digest is not null").drop(*span_columns[1:])
+    opened = in_order.where("part is not null").drop(*span_columns)
     spans = (
         found.where("rows is not null").select(*span_columns)
         .union(in_order.where("rows is not null").select(*span_columns))
-        .union(_across(opened).select(*span_columns))
+        .union(opened.groupBy("part").applyInArrow(_across, _SPANS))
     )
     return (
         spans.groupBy("block")
