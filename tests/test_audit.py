@@ -116,7 +116,7 @@ def test_model_learns_and_survives_storage(spark):
         rows.append(mail(f"m{i}", subject="win gold" if i % 2 else "berth plan", body=f"text {i}"))
         labels.append((f"m{i}", kind))
     mails = spark.createDataFrame(rows, MAIL)
-    fitted = model.fit_classifier(mails, spark.createDataFrame(labels, "email_id STRING, label STRING"), {}, max_iter=30)
+    fitted = model.fit_classifier(mails, spark.createDataFrame(labels, "email_id STRING, label STRING"), {})
     folder = sinks.shared_folder(spark)
     model.save_model(fitted, folder)
     predicted = model.predict_proba(model.load_model(spark, folder), mails)
