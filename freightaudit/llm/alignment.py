@@ -39,8 +39,9 @@ from freightaudit.sources.sinks import stored
 
 #: Characters of texts that share a table of segments; a block has one text at least.
 BLOCK_CHARS = 4_000_000
-#: A blank and what follows, up to a blank that follows a non-blank character.
-SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+#: A blank and what follows, up to a blank that follows a non-blank character.  A single blank at the
+#: end stays with what it follows, as B has no token for what is left of it without the blank in front.
+SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*(?: \Z)?")
 #: Segments that are encoded side by side, texts that are cut side by side.
 BATCH, SIDE_BY_SIDE = 1000, 64
 #: Segments that a worker keeps for later blocks.
@@ -246,7 +247,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizers: Tokenizers, block_cha
                 yield _doc_rows(block, keys[start:at], rows)
                 start = at
             if full:
-                yield _block_row(block, segments, totals, keys.type)
+                if totals:
+                    yield _block_row(block, segments, totals, keys.type)
                 block, chars = block + 1, 0
                 segments, totals = _segments(tokenizers), []
             chars += length

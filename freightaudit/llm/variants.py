@@ -189,7 +189,7 @@ def near_pairs(
                 keep = wanted[met]
                 pairs.append(np.stack((some[row[keep]], met[keep])))
     asked, met = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-    if side and m // 2:
+    if side:
         keep = (letters[asked, : m // 2] != letters[met, : m // 2]).any(axis=1)
         asked, met = asked[keep], met[keep]
     return asked, met
