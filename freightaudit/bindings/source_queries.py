@@ -6,6 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -182,8 +183,8 @@ def audit_workbooks(spark, sf):
 
 
 def glyph_table(spark, sf):
-    """Every character of label and value of the drafts with a made-up place on a page."""
-    rows = view(spark, sf, "v_field").where("side = 1").select(
+    """Every character of label and value of the documents with a made-up place on a page."""
+    rows = view(spark, sf, "v_field").select(
         F.regexp_replace("path", "txt$", "pdf").alias("path"),
         (F.col("field_ord") * 12.5 + 0.02).alias("top"),
         "label",
@@ -212,12 +213,116 @@ def glyph_table(spark, sf):
 @query(
     "glyph_pairs",
     """SELECT replace(path, '.txt', '.pdf') AS path, trim(label) AS label, trim(value) AS value
-    FROM v_field WHERE side = 1""",
+    FROM v_field WHERE trim(value) <> ''""",
 )
 def glyph_pairs(spark, sf):
     return glyphs.glyph_pairs(glyph_table(spark, sf)).select("path", "label", "value")
 
 
+#: The four formats of the folder, by number of the mail.
+FORMATS = ["txt", "xlsx", "docx", "pdf"]
+
+
+def by_number(path):
+    """``path`` with the suffix that the number in it stands for."""
+    kind = F.get(F.array(*[F.lit(f) for f in FORMATS]), _number(path) % len(FORMATS))
+    return F.concat(F.regexp_replace(path, "txt$", ""), kind)
+
+
+def _number(path):
+    return F.regexp_extract(path, r"mail_(\d+)_", 1).cast("int")
+
+
+@F.pandas_udf(BinaryType())
+def word_file(title: pd.Series, labels: pd.Series, values: pd.Series) -> pd.Series:
+    """Test data: a title and a table of two columns."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def paragraph(text: str) -> str:
+        return f'<w:p><w:r><w:t xml:space="preserve">{_xml(text)}</w:t></w:r></w:p>'
+
+    def build(title, names, texts) -> bytes:
+        rows = "".join(
+            f"<w:tr><w:tc>{paragraph(a)}</w:tc><w:tc>{paragraph(b)}</w:tc></w:tr>"
+            for a, b in zip(names, texts, strict=True)
+        )
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as archive:
+            body = f"<w:body>{paragraph(title)}<w:tbl>{rows}</w:tbl></w:body>"
+            archive.writestr("word/document.xml", f"<w:document {ns}>{body}</w:document>")
+        return data.getvalue()
+
+    return pd.Series([build(*x) for x in zip(title, labels, values, strict=True)])
+
+
+def written_folder(spark, sf):
+    """The documents as files of four formats, and one of a format without a reader."""
+    folder = sinks.shared_folder(spark)
+    texts = view(spark, sf, "v_doc_text").select("path", "text")
+    rows = texts.join(view(spark, sf, "v_values"), "path")
+    title = F.get(F.split("text", "\n"), F.lit(0))
+    empty = F.col("text") == ""
+    none = F.array().cast("array<string>")
+    labels = F.when(empty, none).otherwise(F.array(title, *[F.col(f"l_{f}") for f in dims.FIELDS]))
+    values = F.when(empty, none).otherwise(
+        F.array(F.lit(""), *[F.col(f"v_{f}") for f in dims.FIELDS])
+    )
+    name = by_number(F.col("path"))
+    rows = rows.select(name.alias("path"), "text", title.alias("title"), labels.alias("l"), values.alias("v"))
+    kind = attachments.attachment_format(F.col("path"))
+    made = {
+        "txt": F.col("text").cast("binary"),
+        "xlsx": workbook("l", "v"),
+        "docx": word_file("title", F.slice("l", 2, 99), F.slice("v", 2, 99)),
+        "pdf": F.lit(b"%PDF-"),
+    }
+    files = None
+    for suffix, content in made.items():
+        part = rows.where(kind == suffix).select("path", content.alias("content"))
+        files = part if files is None else files.unionByName(part)
+    odd = spark.createDataFrame([("attachments/readme.zip", bytearray(b"PK"))], files.schema)
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield batch[["path"]]
+
+    sinks.stored(files.unionByName(odd).mapInPandas(write, "path string"))
+    return folder
+
+
+def printed(spark, sf):
+    """The glyphs of the documents that are printed, with their titles."""
+    texts = view(spark, sf, "v_doc_text").where("text <> ''").select(
+        F.regexp_replace("path", "txt$", "pdf").alias("path"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
+    )
+    fields = glyph_table(spark, sf).join(texts.select("path"), "path", "left_semi")
+    titles = texts.select("path", F.posexplode(F.split("title", "")).alias("at", "ch")).select(
+        "path", F.lit(1).alias("page"), F.lit(-20.0).alias("top"),
+        (F.col("at") * 4.0 + 20).alias("x0"), F.lit("Sans-Regular").alias("fontname"), "ch",
+    )
+    return fields.unionByName(titles)
+
+
+@query("audit_folder", "SELECT email_id, status, defects FROM v_audit")
+def audit_folder(spark, sf):
+    """From a folder of four formats to decisions.  Some mails name files that are not there."""
+    renamed = F.transform("attachments", by_number)
+    rows = audit.audit_folder(
+        mails(spark, sf).withColumn("attachments", renamed),
+        written_folder(spark, sf),
+        sinks.stored(printed(spark, sf)),
+    )
+    return rows.select(
+        "email_id", "status", F.array_join("defect_fields", ",").alias("defects")
+    )
+
+
 @query(
     "write_decisions",
     "SELECT email_id, category, status, defects, 'r1' AS run_id FROM v_audit",

@@ -22,13 +22,13 @@ def scan_attachments(spark: SparkSession, root: str, glob: str | None = None) ->
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    whole = _qualified(spark, root)
+    whole = qualified(spark, root)
     return reader.load(root).select(
         F.substr(F.col("path"), F.lit(len(whole) + 2)).alias("path"), "length", "content"
     )
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
+def qualified(spark: SparkSession, root: str) -> str:
     """``root`` as the file source writes it in front of its paths."""
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
     store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -39,10 +39,11 @@ def needed_attachments(files: DataFrame, mails: DataFrame) -> DataFrame:
     """Only files that some mail refers to.
 
     Paths alone are joined first, each once however many mails share it; the bytes are then
-    joined to that distinct list.
+    joined to that distinct list.  ``sources/folder.py`` opens no other files to begin with.
     """
     refs = mails.select(F.explode("attachments").alias("path")).distinct()
-    return files.join(refs, "path", "left_semi")
+    wanted = files.select("path").join(refs, "path", "left_semi")
+    return files.join(wanted, "path", "left_semi")
 
 
 def read_error(path: Column, text: Column) -> Column:
