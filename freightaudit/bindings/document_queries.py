@@ -226,18 +226,16 @@ def colon_candidates(spark, sf):
 @query(
     "prefix_candidates",
     f"""SELECT path, field, regexp_replace(trim(value), '^[^A-Za-z0-9]+', '') AS value FROM v_field
-    WHERE {_READABLE} AND k % 5 = 4""",
+    WHERE {_READABLE}""",
 )
 def prefix_candidates(spark, sf):
-    rows = line_fields(spark, sf).join(
-        view(spark, sf, "v_doc_text").where("k % 5 = 4").select("path"), "path", "left_semi"
-    )
-    return rows.select("path", "field", F.col("candidate.raw_value").alias("value"))
+    docs = view(spark, sf, "v_doc_text").select("path", "text")
+    return extract.prefix_candidates(docs).select("path", "field", "value")
 
 
 @query(
     "join_alias_prefix",
-    f"""SELECT field, count(*) AS n FROM v_field WHERE {_READABLE} AND k % 5 = 4 GROUP BY field""",
+    f"""SELECT field, count(*) AS n FROM v_field WHERE {_READABLE} GROUP BY field""",
 )
 def join_alias_prefix(spark, sf):
     return prefix_candidates(spark, sf).groupBy("field").agg(F.count("*").alias("n"))

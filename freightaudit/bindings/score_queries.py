@@ -66,10 +66,10 @@ def join_truth_inner(spark, sf):
 @query(
     "unscored_ids",
     """SELECT m.email_id FROM v_mail m WHERE NOT EXISTS (
-      SELECT 1 FROM v_truth t WHERE t.k = m.k AND t.k % 2 = 0)""",
+      SELECT 1 FROM v_truth t WHERE t.k = m.k)""",
 )
 def unscored_ids(spark, sf):
-    truth = view(spark, sf, "v_truth").where("k % 2 = 0").select(
+    truth = view(spark, sf, "v_truth").select(
         F.expr("concat('mail_', cast(k as string))").alias("email_id")
     )
     return joins.unscored_ids(mails(spark, sf), truth)

@@ -289,17 +289,18 @@ def clean_extraction_json(spark, sf):
 @query(
     "shipment_prompt_text",
     r"""SELECT m.email_id, md5('Subject: ' || trim(m.subject) || chr(10) || chr(10) || 'Body:'
-        || chr(10) || trim(m.body)) AS prompt, md5('Document Type: SI' || chr(10) || chr(10)
-        || 'Document Text Content:' || chr(10) || left(d.text, 4000)) AS document_prompt
-    FROM v_mail m JOIN v_doc_text d ON d.k = m.k AND d.role = 'SI'""",
+        || chr(10) || trim(m.body)) AS prompt, d.role, md5('Document Type: ' || d.role || chr(10)
+        || chr(10) || 'Document Text Content:' || chr(10) || left(d.text, 4000)) AS document_prompt
+    FROM v_mail m JOIN v_doc_text d ON d.k = m.k WHERE d.text <> ''""",
 )
 def shipment_prompt_text(spark, sf):
-    si = view(spark, sf, "v_doc_text").where(F.col("role") == "SI").select("k", "text")
-    both = view(spark, sf, "v_mail").join(si, "k")
+    texts = view(spark, sf, "v_doc_text").select("k", "role", "text")
+    both = view(spark, sf, "v_mail").join(texts, "k")
     return both.select(
         "email_id",
+        "role",
         F.md5(X.shipment_prompt(F.col("subject"), F.col("body"))).alias("prompt"),
-        F.md5(X.document_prompt(F.col("text"), F.lit("SI"))).alias("document_prompt"),
+        F.md5(X.document_prompt(F.col("text"), F.col("role"))).alias("document_prompt"),
     )
 
 

@@ -90,6 +90,21 @@ def _prefix_lookup(matched: Column, part: str) -> Column:
     return F.try_element_at(F.create_map(*pairs), words)
 
 
+def prefix_candidates(docs: DataFrame) -> DataFrame:
+    """``docs(path, text)`` -> ``(path, line_no, field, value)``: every line, or line without a
+    leading ``total``, that starts with a known label, whatever stands behind it."""
+    lines = document_lines(docs).select(
+        "path", "line_no", F.explode(line_variants(F.coalesce("raw", F.lit("")))).alias("line")
+    )
+    found = with_columns_once(lines, {"matched": prefix_label(F.col("line"))})
+    return found.where("matched is not null").select(
+        "path",
+        "line_no",
+        _prefix_lookup(F.col("matched"), "field").alias("field"),
+        prefix_value(F.col("line"), F.col("matched")).alias("value"),
+    )
+
+
 def _carried(rows: DataFrame, used: set[str]) -> list[str]:
     return [c for c in rows.columns if c not in used]
 
