@@ -289,9 +289,10 @@ def clean_extraction_json(spark, sf):
 @query(
     "shipment_prompt_text",
     r"""SELECT m.email_id, md5('Subject: ' || trim(m.subject) || chr(10) || chr(10) || 'Body:'
-        || chr(10) || trim(m.body)) AS prompt, d.role, md5('Document Type: ' || d.role || chr(10)
-        || chr(10) || 'Document Text Content:' || chr(10) || left(d.text, 4000)) AS document_prompt
-    FROM v_mail m JOIN v_doc_text d ON d.k = m.k WHERE d.text <> ''""",
+        || chr(10) || trim(m.body)) AS prompt, d.role, CASE WHEN d.text <> ''
+        THEN md5('Document Type: ' || d.role || chr(10)
+        || chr(10) || 'Document Text Content:' || chr(10) || left(d.text, 4000)) END AS document_prompt
+    FROM v_mail m JOIN v_doc_text d ON d.k = m.k""",
 )
 def shipment_prompt_text(spark, sf):
     texts = view(spark, sf, "v_doc_text").select("k", "role", "text")
