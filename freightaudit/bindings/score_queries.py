@@ -8,6 +8,8 @@ from freightaudit import dims
 from freightaudit.bindings.registry import query
 from freightaudit.bindings.views import mails, q, view
 from freightaudit.operators import evaluate, joins, review, rules
+from freightaudit.sources import sinks
+from freightaudit.streaming import overrides
 
 CATS = [q(c) for c in dims.CATEGORIES]
 _VALUES = "(VALUES " + ", ".join(f"({c})" for c in CATS) + ") AS c(category)"
@@ -390,6 +392,17 @@ def latest_override(spark, sf):
     return review.latest_override(log).drop("ts")
 
 
+@query("override_snapshot", f"WITH {_LOG} SELECT email_id, status, notes FROM latest")
+def override_snapshot(spark, sf):
+    """The log in three batches, each folded into the snapshot of those before."""
+    log = sinks.stored(review.override_log(view(spark, sf, "v_actions")))
+    kept = overrides.snapshot(sinks.shared_folder(spark), log.schema)
+    for number in range(3):
+        batch = log.where(F.pmod(F.xxhash64("ts"), F.lit(3)) == number)
+        overrides.fold_batch(batch, kept, number)
+    return kept.read(spark).drop("ts")
+
+
 @query("join_override", f"WITH {_LOG} SELECT email_id, status, supervisor_notes FROM shown")
 def join_override(spark, sf):
     return overridden(spark, sf).select("email_id", "status", "supervisor_notes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import timedelta
 
 import pandas as pd
 from pyarrow import fs
@@ -18,7 +19,7 @@ from freightaudit.functions.text import decode_text
 from freightaudit.operators import extract
 from freightaudit.plans import audit
 from freightaudit.sources import attachments, glyphs, inbox, office, sinks
-from freightaudit.streaming import triage
+from freightaudit.streaming import triage, waiting
 
 
 def written_inbox(spark, sf):
@@ -385,3 +386,24 @@ def stream_audit(spark, sf):
     stream = triage.read_mail_stream(spark, source)
     triage.stream_audit(stream, facts, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("email_id", "category", "status")
+
+
+@query("stream_audit_waiting", "SELECT email_id, category, status FROM v_audit")
+def stream_audit_waiting(spark, sf):
+    """Mails come first, their documents in a later run, and a heartbeat when time is out."""
+    source, out, checkpoint, kept = written_inbox(spark, sf), *[sinks.shared_folder(spark) for _ in "ock"]
+    docs, folder = documents(spark, sf), sinks.shared_folder(spark)
+
+    def audited(wait: timedelta) -> None:
+        room = waiting.WaitingRoom(kept, wait)
+        texts = spark.readStream.schema(docs.schema).parquet(folder)
+        mail_stream = triage.read_mail_stream(spark, source)
+        waiting.stream_audit_waiting(mail_stream, texts, room, out, checkpoint).awaitTermination()
+
+    docs.limit(0).write.parquet(folder)
+    audited(timedelta(days=1))
+    docs.write.mode("append").parquet(folder)
+    audited(timedelta(days=1))
+    docs.limit(0).write.mode("append").parquet(folder)
+    audited(timedelta(0))
+    return spark.read.parquet(out).select("email_id", "category", "status")
