@@ -21,9 +21,13 @@ result.  Of rules of equal length the first listed wins.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightaudit.sources.sinks import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 Z, MAX_BAD = 1.96, 0.5
@@ -54,14 +58,24 @@ def rule_verdict(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def with_domain_and_suffix(hosts: DataFrame) -> DataFrame:
-    """``hosts`` with ``domain``, the last two labels of the name, and ``suffix``, the last."""
+def with_domain_and_suffix(hosts: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
+    """``hosts`` with ``suffix``, the longest of ``suffixes`` (such as ``co.uk``) that the name ends
+    with and otherwise its last label, and ``domain``, the suffix and the label before it."""
     name = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
     plain = (name == "") | name.rlike(r"^[0-9.]+$") | name.rlike(r"^\[")
+    by_labels: dict[int, list[str]] = {}
+    for suffix in suffixes:
+        by_labels.setdefault(suffix.count(".") + 1, []).append(suffix.lower())
+    labels = F.lit(1)
+    for n in sorted(by_labels):
+        labels = F.when(F.substring_index(name, ".", -n).isin(by_labels[n]), n).otherwise(labels)
+    size = F.size(F.split(name, r"\."))
+    last = F.array_join(F.slice(F.split(name, r"\."), -F.least(labels, size), size), ".")
+    domain = F.array_join(F.slice(F.split(name, r"\."), -F.least(labels + 1, size), size), ".")
     return hosts.withColumns(
         {
-            "domain": F.when(plain, name).otherwise(F.substring_index(name, ".", -2)),
-            "suffix": F.when(plain, name).otherwise(F.substring_index(name, ".", -1)),
+            "domain": F.when(plain, name).otherwise(domain),
+            "suffix": F.when(plain, name).otherwise(last),
         }
     )
 
@@ -91,12 +105,16 @@ def _strength(units: DataFrame) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, room / excess - 1))
 
 
-def host_reputation(pages: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, bad_rate, bad_bound) of every host in ``pages`` (host, bad): ``bad`` is 1 or 0, or
-    null for a page without an outcome."""
-    hosts = with_domain_and_suffix(
-        pages.groupBy("host").agg(
-            F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
+    null for a page without an outcome; ``suffixes`` as in ``with_domain_and_suffix``."""
+    # every level and every strength is worked out from these counts, so pages are read once
+    hosts = stored(
+        with_domain_and_suffix(
+            pages.groupBy("host").agg(
+                F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
+            ),
+            suffixes,
         )
     )
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
@@ -126,7 +144,12 @@ def host_reputation(pages: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def judge(
+    pages: DataFrame,
+    outcomes: DataFrame,
+    rules: list[tuple[str, str]],
+    suffixes: Sequence[str] = (),
+) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``.  ``outcomes`` has (_key,
     bad) and ``pages`` the column ``_key`` that a page's outcome is found by."""
     named = with_host_and_path(pages.select("page_id", "url", "_key")).drop("url")
@@ -134,7 +157,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]]) -
         F.max(F.col("bad").cast("int")).alias("bad")
     )
     labelled = named.select("host", "_key").join(bad, "_key", "left")
-    hosts = host_reputation(labelled).select("host", "bad_bound")
+    hosts = host_reputation(labelled, suffixes).select("host", "bad_bound")
     rule, verdict = rule_verdict(rules)
     learned = F.when(F.col("bad_bound") > MAX_BAD, "block").otherwise("allow")
     return named.join(hosts, "host").select(
