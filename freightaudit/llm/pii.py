@@ -10,8 +10,9 @@ instances and scores it in rounds:
   which stand before anything, earn none;
 - an instance's score is 1 for a seed and otherwise the chance that one of its patterns is right.
 
-After ``ROUNDS`` rounds, candidates that score ``CONFIDENCE`` or more are spans of kind ``id``
-wherever they stand; base spans stay as they are.
+Scores only rise from round to round.  Once none rises by ``TOLERANCE`` or more, candidates that
+score ``CONFIDENCE`` or more are spans of kind ``id`` wherever they stand; base spans stay as they
+are.
 
 All of it is DataFrame functions.  Texts are scanned once for identifiers and once for word counts
 and are never shuffled; positions come from a running sum over a document's own matches.
@@ -31,11 +32,9 @@ from freightaudit.functions.once import with_columns_once
 from freightaudit.sources.sinks import stored
 
 KINDS = ["email", "ip", "card", "phone", "id"]
-ROUNDS = 3
+TOLERANCE = 1e-3
 MIN_SUPPORT = 3
 CONFIDENCE = 0.6
-#: Characters of the gap beside an identifier in which its context word is looked for.
-CONTEXT = 64
 
 #: The kinds' patterns.  They find what the plain forms find; a look behind (or the
 #: end of the last match) stands where the plain form would try every position of a long run, and
@@ -117,8 +116,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _gap(text: Column) -> Column:
-    last = F.regexp_extract(F.substring(text, -CONTEXT, CONTEXT), r"(\S+)\s*$", 1)
-    first = F.regexp_extract(F.substring(text, 1, CONTEXT), r"^\s*(\S+)", 1)
+    # from the end of the gap backwards, so the time is linear in its length
+    last = F.regexp_extract(text, r"(?s)^(?:.*\s)?(\S+)\s*$", 1)
+    first = F.regexp_extract(text, r"^\s*(\S+)", 1)
     return F.struct(
         F.char_length(text).alias("size"), F.lower(last).alias("last"), F.lower(first).alias("first")
     )
@@ -202,7 +202,8 @@ def learned_instances(found: DataFrame, docs: DataFrame) -> DataFrame:
     scores = graph.groupBy("token").agg(F.max("seed").alias("seed")).select(
         "token", "seed", F.col("seed").cast("double").alias("score")
     )
-    for _ in range(ROUNDS):
+    while True:
+        before = scores.select("token", F.col("score").alias("before"))
         patterns = (
             graph.join(scores.select("token", "score"), "token")
             .groupBy("side", "word", "total")
@@ -225,6 +226,10 @@ def learned_instances(found: DataFrame, docs: DataFrame) -> DataFrame:
             .agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(doubt))).alias("score"))
             .select("token", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score"))
         )
+        rise = F.max(F.col("score") - F.col("before"))
+        # one number passes the driver; null: there is nothing to score
+        if (scores.join(before, "token").agg(rise.alias("rise")).first().rise or 0.0) < TOLERANCE:
+            break
     return scores.where(~F.col("seed") & (F.col("score") >= CONFIDENCE)).select("token", "score")
 
 
