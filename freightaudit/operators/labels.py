@@ -2,8 +2,8 @@
 
 ``classify_labels`` scores each *distinct* label once.  ``with_accepted_label`` decides labels
 where they stand (no shuffle, no join): words of a known alias are decided by a literal
-lookup, labels that cannot reach the threshold are dropped by a cheap test, and only the
-rest is scored.
+lookup; each other distinct label of a batch is decided once, and scored only if it can reach
+the threshold.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from freightaudit.functions.text import fold_text
 
 
 def distinct_label_keys(labels: DataFrame, label: str = "label") -> DataFrame:
-    """Distinct label keys; the aggregation combines map-side, so hot labels do not hurt."""
-    return labels.select(L.label_key(fold_text(F.col(label))).alias("label_key")).distinct()
+    """Distinct label keys; the aggregation combines map-side, so hot labels do not hurt.  Equal
+    labels are folded once."""
+    spelled = labels.select(F.col(label).alias("label")).distinct()
+    return spelled.select(L.label_key(fold_text(F.col("label"))).alias("label_key")).distinct()
 
 
 def join_label_alias(keys: DataFrame) -> DataFrame:
@@ -50,44 +52,17 @@ def join_label_alias(keys: DataFrame) -> DataFrame:
     )
 
 
-def _with_decisions(rows: DataFrame, keys: dict[str, str], prune: bool) -> DataFrame:
-    """Decisions for key columns, staged so that nothing is computed twice.
-
-    NULL keys give NULL.  With ``prune`` so do labels that cannot be accepted whatever their
-    character similarity; the UDFs of all keys share one Arrow pass and see only the rest.
-    """
-
-    def add(name: str, stage) -> None:
-        nonlocal rows
-        rows = rows.withColumns({f"_{name}_{k}": stage(k) for k in keys})
-
-    add("profile", lambda k: F.when(F.col(k).isNotNull(), L.label_profile(F.col(k))))
-    if prune:
-        add(
-            "key",
-            lambda k: F.when(
-                F.when(F.col(k).isNotNull(), L.could_be_accepted(F.col(f"_profile_{k}"))),
-                F.col(k),
-            ),
-        )
-    else:
-        add("key", F.col)
-    add("sims", lambda k: L.similarities(F.col(f"_key_{k}")))
-    decisions = {
-        out: F.when(
-            F.col(f"_key_{k}").isNotNull(),
-            L.label_decision(L.field_candidates(F.col(f"_profile_{k}"), F.col(f"_sims_{k}"))),
-        )
-        for k, out in keys.items()
-    }
-    return with_columns_once(rows, decisions).drop(
-        *[f"_{stage}_{k}" for stage in ("profile", "key", "sims") for k in keys]
-    )
-
-
 def decide_keys(keys: DataFrame) -> DataFrame:
-    """Adds ``decision`` to a table of (distinct) ``label_key``."""
-    return _with_decisions(keys, {"label_key": "decision"}, prune=False)
+    """Adds ``decision`` to a table of (distinct) ``label_key``, staged so that nothing is computed
+    twice."""
+    key = F.col("label_key")
+    rows = keys.withColumns({"_profile": F.when(key.isNotNull(), L.label_profile(key))})
+    rows = rows.withColumns({"_sims": L.similarities(key)})
+    decision = F.when(
+        key.isNotNull(),
+        L.label_decision(L.field_candidates(F.col("_profile"), F.col("_sims"))),
+    )
+    return with_columns_once(rows, {"decision": decision}).drop("_profile", "_sims")
 
 
 def classify_labels(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -99,20 +74,27 @@ def with_accepted_label(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Decide label keys in place.
 
     ``keys`` maps a key column to an output column ``STRUCT<field, score>``; the output is NULL
-    where the label is not accepted.  The similarity UDFs of all keys run in one Arrow pass
-    and get NULL for labels that need no scoring.
+    where the label is not accepted.  Words of a known alias are looked up; the UDFs of all keys
+    run in one Arrow pass and get NULL for those.
     """
-    for key in keys:
-        undecided = L.exact_field(F.col(key)).isNull() & L.may_score(F.col(key))
-        rows = rows.withColumn(f"_open_{key}", F.when(undecided, F.col(key)))
-    rows = _with_decisions(rows, {f"_open_{key}": f"_decision_{key}" for key in keys}, prune=True)
-    accepted = {}
-    for key, out in keys.items():
-        exact = L.exact_field(F.col(key))
-        accepted[out] = F.when(
-            exact.isNotNull(),
-            F.struct(exact.alias("field"), F.lit(dims.EXACT_SCORE).alias("score")),
-        ).otherwise(L.accepted_label(F.col(f"_decision_{key}")))
+    exact = {key: L.exact_field(F.col(key)) for key in keys}
+    rows = rows.withColumns(
+        {f"_known_{key}": found for key, found in exact.items()}
+    ).withColumns(
+        {
+            f"_found_{key}": L.accepted_field(F.when(F.col(f"_known_{key}").isNull(), F.col(key)))
+            for key in keys
+        }
+    )
+    accepted = {
+        out: F.when(
+            F.col(f"_known_{key}").isNotNull(),
+            F.struct(
+                F.col(f"_known_{key}").alias("field"), F.lit(dims.EXACT_SCORE).alias("score")
+            ),
+        ).when(F.col(f"_found_{key}.field").isNotNull(), F.col(f"_found_{key}"))
+        for key, out in keys.items()
+    }
     return rows.withColumns(accepted).drop(
-        *[f"_{stage}_{k}" for k in keys for stage in ("open", "decision")]
+        *[f"_{stage}_{k}" for k in keys for stage in ("known", "found")]
     )
