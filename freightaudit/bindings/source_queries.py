@@ -72,10 +72,12 @@ def get_email(spark, sf):
 def scan_attachments(spark, sf):
     """Documents of a role become attachment files; their bytes are read and split again."""
     folder = sinks.shared_folder(spark)
-    view(spark, sf, "v_doc_text").select("role", "text").write.partitionBy("role").text(folder)
+    texts = view(spark, sf, "v_doc_text").select("role", "text")
+    # a file is read whole, so it stays small however many documents there are
+    texts.write.option("maxRecordsPerFile", 5000).partitionBy("role").text(folder)
     files = attachments.scan_attachments(spark, folder, "*.txt")
     docs = files.select("path", decode_text(F.col("content")).alias("text"))
-    lines = extract.document_lines(docs).where(F.trim("raw") != "")
+    lines = extract.document_lines(docs, folded=False).where(F.trim("raw") != "")
     role = F.regexp_extract("path", "role=([A-Z]+)/", 1)
     return lines.groupBy(role.alias("role")).agg(F.count("*").alias("n"))
 
