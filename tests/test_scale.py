@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from freightaudit.bindings import views
 from freightaudit.functions import labels as L
 from freightaudit.functions import text as T
-from freightaudit.operators import extract, labels, rules
+from freightaudit.operators import extract, features, labels, rules
 
 
 def test_derived_texts_are_dealt_to_many_tasks(spark):
@@ -66,3 +66,19 @@ def test_phrases_are_looked_up_in_texts_made_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[a-z0-9]+") <= 2
     assert {r["email_id"] for r in found.collect()} <= {"a"}
+
+
+def test_texts_are_shuffled_once_for_their_terms(spark):
+    texts = spark.createDataFrame(
+        [(1, "b", "aa bb aa"), (1, "b", "AA"), (2, "b", ""), (None, "b", "aa")],
+        "email_id LONG, block STRING, text STRING",
+    )
+    for terms in (features.word_terms(texts), features.char_wb_terms(texts)):
+        plan = terms._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    found = {(r["email_id"], r["term"]): r["tf"] for r in features.word_terms(texts).collect()}
+    assert found == {(1, "aa"): 3, (1, "bb"): 1, (1, "aa bb"): 1, (1, "bb aa"): 1, (None, "aa"): 1}
+    weighed = features.tfidf(
+        features.word_terms(texts), features.vocabulary(features.word_terms(texts), texts)
+    )
+    assert {(r["block"], r["term"]) for r in weighed.collect()} == {("b", t) for _, t in found}
