@@ -8,7 +8,7 @@ the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightaudit import dims
@@ -70,12 +70,14 @@ def classify_labels(labels: DataFrame, label: str = "label") -> DataFrame:
     return decide_keys(distinct_label_keys(labels, label))
 
 
-def with_accepted_label(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
+def with_accepted_label(
+    rows: DataFrame, keys: dict[str, str], others: dict[str, Column] | None = None
+) -> DataFrame:
     """Decide label keys in place.
 
     ``keys`` maps a key column to an output column ``STRUCT<field, score>``; the output is NULL
     where the label is not accepted.  Words of a known alias are looked up; the UDFs of all keys
-    run in one Arrow pass and get NULL for those.
+    run in one Arrow pass and get NULL for those.  ``others`` are UDF columns of the same pass.
     """
     exact = {key: L.exact_field(F.col(key)) for key in keys}
     rows = rows.withColumns(
@@ -85,6 +87,7 @@ def with_accepted_label(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
             f"_found_{key}": L.accepted_field(F.when(F.col(f"_known_{key}").isNull(), F.col(key)))
             for key in keys
         }
+        | (others or {})
     )
     accepted = {
         out: F.when(

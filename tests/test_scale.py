@@ -82,3 +82,32 @@ def test_texts_are_shuffled_once_for_their_terms(spark):
         features.word_terms(texts), features.vocabulary(features.word_terms(texts), texts)
     )
     assert {(r["block"], r["term"]) for r in weighed.collect()} == {("b", t) for _, t in found}
+
+
+def test_field_facts_run_as_compiled_code(spark):
+    """The JVM never compiles a method beyond 8000 bytes; a label is read once, not in filters too."""
+    docs = spark.createDataFrame([("a", "Shipper: Mill\n", None)], "path string, text string, error string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        facts = extract.document_facts(docs)
+        plan = facts._jdf.queryExecution()
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan.executedPlan())
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+        calls = plan.executedPlan().toString().count("read_label(label1")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < max(sizes) < 8000
+    assert calls == 1
+    assert facts.select("shipper.normalised").collect() == [("mill",)]
+
+
+def test_lines_do_not_carry_their_document(spark):
+    docs = spark.createDataFrame(
+        [("a", "x\r\n"), ("b", "\n"), ("c", ""), ("d", None), ("e", "x\n\ry"), ("f", "x\n\r")],
+        "path string, text string",
+    )
+    got = extract.document_lines(docs, folded=False).collect()
+    assert sorted(got, key=str) == [
+        ("a", 1, "x"), ("b", 1, ""), ("c", None, None), ("d", None, None),
+        ("e", 1, "x"), ("e", 2, ""), ("e", 3, "y"), ("f", 1, "x"), ("f", 2, ""),
+    ]
