@@ -111,3 +111,23 @@ def test_lines_do_not_carry_their_document(spark):
         ("a", 1, "x"), ("b", 1, ""), ("c", None, None), ("d", None, None),
         ("e", 1, "x"), ("e", 2, ""), ("e", 3, "y"), ("f", 1, "x"), ("f", 2, ""),
     ]
+
+
+def test_lines_pass_through_python_twice(spark):
+    """Labels are read and decided in one pass; known starts are named and values folded in another."""
+    docs = spark.createDataFrame(
+        [("a", "Shipper: Mill\nVessel: x\nTotal Gross Weight 007.50 MT\nPOD PORT É\n", None)],
+        "path string, text string, error string",
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        facts = extract.document_facts(docs)
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ArrowEvalPython") == 2
+    got = facts.select(
+        "shipper.normalised", "gross_weight_kg.normalised", "gross_weight_kg.raw_label",
+        "port_of_discharge.normalised", "notify_party",
+    ).collect()
+    assert [tuple(r) for r in got] == [("mill", "7500", "GROSS WEIGHT", "port", None)]

@@ -108,3 +108,18 @@ def test_lenient(spark):
     )
     got = rows.select(V.lenient_equal(F.col("field"), F.col("a"), F.col("b")).alias("x"), "expected")
     assert all(r["x"] == r["expected"] for r in got.collect())
+
+
+def test_missing_words_and_numbers_are_worked_out_once(spark):
+    texts = [
+        None, "", " \t", "t b a", "n / a", "n/a.", "-- k g s", "__ mt", "kgs", "m t s", "kgx",
+        "no ne", "none?", "?? .-", "tbak", "n", "mill", "-kg-", "kg kg",
+    ]
+    missing = [True] * 5 + [False] + [True] * 4 + [False, True, False, True] + [False] * 5
+    assert apply(spark, V.folded_missing, texts) == missing
+    values = [None, "", "007.50 mt", "1,234.500 kg", "0", "000", "x", "5.0", "٣٫ mt", "12 34 mt"]
+    rows = spark.range(1).select(V.folded_weight_text(F.lit("007.50 mt")).alias("weight"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract") == 1
+    got = apply(spark, V.folded_weight_text, values)
+    assert got == [None, None, "7500", "1234.5", "0", "0", None, "5", "3000", "1234000"]
