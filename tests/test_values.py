@@ -123,3 +123,14 @@ def test_missing_words_and_numbers_are_worked_out_once(spark):
     assert plan.count("regexp_extract") == 1
     got = apply(spark, V.folded_weight_text, values)
     assert got == [None, None, "7500", "1234.5", "0", "0", None, "5", "3000", "1234000"]
+
+
+def test_values_that_python_folds_are_formed(spark):
+    for form, want in (
+        (V.normalise_text_value, "mill1"),
+        (lambda v: V.normalise_field_value(F.lit("shipper"), v), "mill1"),
+        (lambda v: V.normalise_field_value(F.lit("gross_weight_kg"), v), "1"),
+        (lambda v: V.normalise_container_count(v).cast("string"), "1"),
+        (lambda v: V.normalise_weight_kg(v).cast("int").cast("string"), "1"),
+    ):
+        assert apply(spark, form, ["Millé １"]) == [want]
