@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id.  Near copies
-    share four fifths of their shingles of five words; op9's three bits of a fingerprint would miss
-    most of them."""
+    share four fifths of their shingles of five words.  op9's grid over fingerprints proposes pairs;
+    as three bits would miss most of them, MinHash bands propose further ones."""
     return near_copies.representatives(docs)
 
 

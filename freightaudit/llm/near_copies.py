@@ -1,18 +1,24 @@
-"""Near copies by Jaccard similarity: MinHash bands propose pairs, whole shingle sets decide.
+"""Near copies by Jaccard similarity: SimHash and MinHash propose pairs, whole shingle sets decide.
 
 Two texts are near copies if their sets of shingles of five words are equal to at least four fifths
 (intersection over union); texts of fewer words are one shingle, wordless texts are equal.  Texts
-with one set are one node, however many there are.  Every node has ``BANDS`` keys, each of ``ROWS``
-MinHash values; nodes that share a key are held against each other shingle by shingle, so nothing
-less similar is linked, and a pair of similarity s shares no key with probability
-(1 - s^ROWS)^BANDS: 1.3e-7 at 0.8, less above.
+with one set are one node, however many there are.
 
-First every node is held only against the smallest node of each of its keys, so a large group of
+Pairs come first from op9's method, the SimHash grid of ``simhash.close_pairs``, and are checked
+exactly: fingerprints of three differing bits or fewer, each by its smallest node, and all nodes of a
+fingerprint against that one.  Near copies may differ in more bits (sf0.1: up to 11), so every node
+has ``BANDS`` keys, too, each of ``ROWS`` MinHash values; nodes that share a key are held against each
+other shingle by shingle, so nothing less similar is linked, and a pair of similarity s shares no key
+with probability (1 - s^ROWS)^BANDS: 1.3e-7 at 0.8, less above.
+
+At first every node is held only against the smallest node of each of its keys, so a large group of
 near copies costs as many comparisons as it has nodes.  What shares a key and is not linked by then
-is held against each other in blocks of ``BLOCK`` nodes, by a byte of each MinHash value: pairs that
-agree in fewer than ``AGREE`` are no near copies (at 0.8 as few come with probability 4e-8), and only
-the others are compared shingle by shingle.  Of a key's largest group only what lies outside it is
-asked, so a key takes as many comparisons as it has nodes times those that are not linked yet.
+is held against each other in blocks of ``BLOCK`` nodes: in that block of the first key that a pair
+shares, and nowhere else, a byte of each MinHash value is compared.  Pairs that agree in fewer than
+``AGREE`` are no near copies (at 0.8 as few come with probability 4e-8).  Texts of nodes that have any
+other pair are sent to their blocks and compared there shingle by shingle, the likest first, unless a
+block has joined their groups already.  So pairs are never rows: a block takes in its nodes and gives
+back at most as many links.
 
 Defined results: words are cut at ASCII blanks and lower-cased in ASCII, null texts are wordless,
 invalid UTF-8 counts as U+FFFD; groups are transitive; an empty table gives an empty result.
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightaudit.llm.simhash import _LOWER, components
+from freightaudit.llm.simhash import _LOWER, close_pairs, components, simhash
 from freightaudit.sources.sinks import stored
 
 SHINGLE_WORDS = 5
@@ -37,11 +43,12 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 40, 5
 #: Shingles that get their MinHash values at a time, which bounds memory for very long texts.
 CHUNK = 4096
-#: MinHash values of all that near copies have in common at least, nodes of a key in a task on either
-#: side, and rows that a task takes at least.
-AGREE, BLOCK, TASK_ROWS = 130, 1000, 5000
-#: Rounds in which a node is held against one other only.
-ROUNDS = 3
+#: MinHash values of all that near copies have in common at least, nodes of a block and shingles of
+#: all its nodes, and rows and shingles that a task takes at least.
+AGREE, BLOCK, BLOCK_SHINGLES, TASK_ROWS, TASK_SHINGLES = 130, 1000, 1_000_000, 5000, 2_000_000
+
+#: Columns of a node's row in a block.
+_PLACED = ["band", "i", "j", "own", "node", "size", "root", "outside"]
 
 _RANDOM = np.random.default_rng(42)
 _STEPS = _RANDOM.integers(0, 2**64, SHINGLE_WORDS, np.uint64) | np.uint64(1)
@@ -88,9 +95,10 @@ def band_keys(found: np.ndarray, least: np.ndarray | None = None) -> list[int]:
 
 def _marked(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        nodes, sizes, bands, signs = [], [], [], []
+        nodes, sizes, bands, signs, prints = [], [], [], [], []
         for text in batch.column("text"):
             found = shingles(text.as_py())
+            prints.append(simhash(text.as_py()))
             nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
             sizes.append(len(found))
             least = min_hashes(found)
@@ -105,8 +113,9 @@ def _marked(batches: Iterator[pa.RecordBatch]):
                 pa.array(sizes, pa.int32()),
                 pa.array(bands, pa.list_(pa.int64())),
                 pa.array(signs, pa.binary()),
+                pa.array(np.array(prints, np.uint64).view(np.int64)),
             ],
-            ["id", "text_hash", "node", "size", "bands", "signs"],
+            ["id", "text_hash", "node", "size", "bands", "signs", "fp"],
         )
 
 
@@ -121,16 +130,20 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _held(batches: Iterator[pa.RecordBatch]):
-    least, whole = SIMILAR
     for batch in batches:
-        kept = []
-        for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-            one, two = shingles(a.as_py()), shingles(b.as_py())
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            kept.append(whole * common >= least * (len(one) + len(two) - common))
+        kept = [
+            _near(shingles(a.as_py()), shingles(b.as_py()))
+            for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True)
+        ]
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _near(one: np.ndarray, two: np.ndarray) -> bool:
+    least, whole = SIMILAR
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return whole * common >= least * (len(one) + len(two) - common)
+
+
 def _sizes_allow(one: str, two: str) -> Column:
     least, whole = SIMILAR
     return whole * F.least(one, two) >= least * F.greatest(one, two)
@@ -146,7 +159,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         rows.mapInArrow(
             _marked,
             f"id {id_type}, text_hash long, node long, size int, bands array<long>, "
-            "signs binary",
+            "signs binary, fp long",
         )
     )
     nodes = stored(marked.dropDuplicates(["node"]))
@@ -155,140 +168,173 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     shared = stored(keys.join(lows.where("low < high").drop("high"), "band"))
     sizes = nodes.select(F.col("node").alias("low"), F.col("size").alias("low_size"))
 
-    # one text of every node that shares a key
-    wanted = shared.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
-    texts = rows.select("text_hash", "text").join(wanted, "text_hash").select("node", "text")
-    texts = stored(texts.dropDuplicates(["node"]))
-
     stars = shared.where("node <> low").select("low", "node", "size").distinct()
     stars = stars.join(sizes, "low").where(_sizes_allow("size", "low_size"))
-    links = stored(_alike(stars.select(F.col("low").alias("a"), F.col("node").alias("b")), texts))
-    roots = components(links)
+    asked = _of_grid(nodes).union(stars.select(F.col("low").alias("a"), F.col("node").alias("b")))
+    asked = stored(asked.distinct())
+
+    # one text of every node that is asked or shares a key
+    wanted = shared.select("node").union(asked.select("a")).union(asked.select("b")).distinct()
+    wanted = wanted.join(nodes.select("node", "text_hash"), "node")
+    texts = rows.select("text_hash", "text").join(wanted, "text_hash").select("node", "text")
+    texts = stored(texts.dropDuplicates(["node"]))
 
-    of_node = roots.select("node", "root")
+    links = stored(_alike(asked, texts))
+    of_node = components(links).select("node", "root")
     labelled = shared.join(of_node, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = stored(labelled)
-    pairs = stored(_unlinked_pairs(labelled, nodes.select("node", "signs")))
-    if not pairs.isEmpty():
-        of_node = _joined_by(pairs, links, of_node, texts)
+    more = stored(_unlinked(stored(labelled), nodes.select("node", "signs", "bands"), texts))
+    if not more.isEmpty():
+        of_node = components(links.union(more)).select("node", "root")
     return marked.join(of_node, "node", "left").select(
         "id", "text_hash", F.coalesce("root", "node").alias("root")
     )
 
 
-def _joined_by(
-    pairs: DataFrame, links: DataFrame, of_node: DataFrame, texts: DataFrame
-) -> DataFrame:
-    """(node, root) by ``links`` and those of the ``pairs`` (a, b, agree) that are near copies.
-
-    A node that has a near copy in a group needs no other one.  So for ``ROUNDS`` rounds each node is
-    held only against that with which it agrees most, and pairs whose groups have met meanwhile are
-    done; then all that is left is compared.
-    """
-    for last in (*[False] * ROUNDS, True):
-        open_pairs = stored(_apart(pairs, of_node))
-        if open_pairs.isEmpty():
-            break
-        if last:
-            asked = open_pairs.select("a", "b")
-        else:
-            best = [
-                open_pairs.groupBy(side).agg(F.max(F.struct("agree", "a", "b")).alias("best"))
-                for side in ("a", "b")
-            ]
-            asked = best[0].select("best.a", "best.b").union(best[1].select("best.a", "best.b"))
-            asked = stored(asked.distinct())
-            open_pairs = open_pairs.join(asked, ["a", "b"], "left_anti")
-        found = stored(_alike(asked, texts))
-        if not found.isEmpty():
-            links = links.union(found)
-            of_node = components(links).select("node", "root")
-        pairs = open_pairs
-    return of_node
-
-
-def _apart(pairs: DataFrame, of_node: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` whose nodes have different roots."""
+def _of_grid(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes(node, size, fp)`` by SimHash: the smallest nodes of fingerprints that
+    are close, and every node with the smallest of its fingerprint."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first")))
+    same = nodes.join(firsts, "fp").where("node <> first.node")
+    same = same.where(_sizes_allow("size", "first.size"))
+    close = close_pairs(firsts)
     for side in ("a", "b"):
-        known = of_node.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        pairs = pairs.join(known, side, "left").withColumn(
-            f"{side}_root", F.coalesce(f"{side}_root", side)
-        )
-    return pairs.where("a_root <> b_root").select("a", "b", "agree")
+        close = close.join(firsts.toDF(side, f"{side}_first"), side)
+    close = close.where(_sizes_allow("a_first.size", "b_first.size"))
+    return same.select(F.col("first.node").alias("a"), F.col("node").alias("b")).union(
+        close.select("a_first.node", "b_first.node")
+    )
 
 
-def _unlinked_pairs(labelled: DataFrame, signs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, agree) of ``labelled(band, node, size, root, low)`` that share a key, have
-    different roots and may be near copies."""
-    roots = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-    bands = roots.groupBy("band").agg(
-        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("k")
-    )
-    bands = bands.where("k > 1").select(
-        "band", F.col("most.root").alias("home"), F.ceil(F.col("all") / BLOCK).cast("int").alias("c")
+def _unlinked(labelled: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of ``labelled(band, node, size, root, low)`` that share a key and
+    have different roots: enough of them to join all groups that have near copies in each other."""
+    roots = labelled.groupBy("band", "root").agg(
+        F.count("*").alias("n"), F.sum("size").alias("shingles")
     )
-    rows = stored(
-        labelled.join(bands, "band")
-        .join(signs, "node")
-        .select("*", F.pmod(F.xxhash64("node"), F.col("c")).cast("int").alias("own"))
-    )
-    each = F.sequence(F.lit(0), F.col("c") - 1)
-    outside = F.col("root") != F.col("home")
-    # a node is in its block's row as one of all, and in its block's column if it is asked
-    as_one = F.transform(
-        each, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(False).alias("asked"))
+    bands = roots.groupBy("band").agg(
+        F.max(F.struct("n", "root")).alias("most"),
+        F.greatest(
+            F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)
+        ).cast("int").alias("c"),
+        F.count("*").alias("k"),
+    )
+    bands = bands.where("k > 1").select("band", F.col("most.root").alias("home"), "c")
+    rows = labelled.join(bands, "band").select(
+        "band", "node", "size", "root", "c", (F.col("root") != F.col("home")).alias("outside"),
+        F.pmod(F.xxhash64("node"), F.col("c")).cast("int").alias("own"),
+    )
+    # the blocks of a key are held against each other and themselves, if either has nodes outside
+    outer = rows.where("outside").groupBy("band").agg(F.collect_set("own").alias("outer"))
+    each = F.filter(
+        F.sequence(F.lit(0), F.col("c") - 1),
+        lambda other: F.array_contains("outer", F.col("own")) | F.array_contains("outer", other),
     )
-    as_asked = F.transform(
-        each, lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("asked"))
+    placed = rows.join(outer, "band").withColumn("other", F.explode(each))
+    placed = stored(
+        placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(
+            _PLACED
+        )
     )
-    none = F.array().cast("array<struct<i: int, j: int, asked: boolean>>")
-    placed = rows.select(
-        "band", "node", "size", "root", "home", "signs",
-        F.inline(F.concat(as_one, F.when(outside, as_asked).otherwise(none))),
-    )
-    tasks = 1 + rows.count() // TASK_ROWS
-    task = F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks)).alias("task")
-    return (
-        placed.select(task, "*")
-        .groupBy("task")
-        .applyInArrow(_agreeing, "a long, b long, agree int")
-        .distinct()
+    open_rows = stored(
+        _by_block(placed.join(signs, "node"), 1 + placed.count() // TASK_ROWS).applyInArrow(
+            _with_candidates, placed.schema
+        )
     )
+    total = open_rows.agg(F.count("*"), F.sum("size")).first()
+    tasks = 1 + total[0] // TASK_ROWS + (total[1] or 0) // TASK_SHINGLES
+    whole = open_rows.join(signs, "node").join(texts, "node")
+    return _by_block(whole, tasks).applyInArrow(_linked, "a long, b long").distinct()
+
 
+def _by_block(rows: DataFrame, tasks: int):
+    task = F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks))
+    return rows.withColumn("task", task).groupBy("task")
 
-def _agreeing(table: pa.Table) -> pa.Table:
-    """Pairs of an asked node and any of a key's blocks, with different roots, that agree."""
-    order = [("band", "ascending"), ("i", "ascending"), ("j", "ascending"), ("asked", "ascending")]
-    table = table.sort_by(order)
+
+def _blocks(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each (band, i, j), by node."""
+    table = table.sort_by([(c, "ascending") for c in ("band", "i", "j", "node")])
     keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
     edges = np.ones(len(table) + 1, bool)
     edges[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    edges = np.flatnonzero(edges)
-    asked = table.column("asked").to_numpy(zero_copy_only=False)
-    node, size, root = (table.column(c).to_numpy() for c in ("node", "size", "root"))
-    signs = np.frombuffer(b"".join(table.column("signs").to_pylist()), np.uint8)
-    signs = signs.reshape(len(table), -1)
-    outside = root != table.column("home").to_numpy()
+    edges = np.flatnonzero(edges).tolist()
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        yield table.slice(start, end - start)
+
+
+def _candidates(block: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows, agreeing values): rows of a block that may be near copies, every pair once.
+
+    They have different roots, one at least not that of the key's largest group, and come from the
+    two blocks that are held against each other; no earlier key of theirs is equal.
+    """
+    columns = ("own", "size", "root", "outside")
+    own, size, root, outside = (
+        block.column(c).to_numpy(zero_copy_only=False) for c in columns
+    )
+    band, i, j = (block.column(c)[0].as_py() for c in ("band", "i", "j"))
+    signs = np.frombuffer(b"".join(block.column("signs").to_pylist()), np.uint8)
+    signs = signs.reshape(len(block), -1)
+    bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(block), -1)
     least, whole = SIMILAR
-    found: list[np.ndarray] = []
-    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        middle = start + int(np.searchsorted(asked[start:end], True))
-        others = np.arange(start, middle)
-        for one in range(middle, end):
-            # of two that are asked, the smaller asks
-            meet = (root[others] != root[one]) & (~outside[others] | (node[one] < node[others]))
-            small = np.minimum(size[others], size[one])
-            meet &= whole * small >= least * np.maximum(size[others], size[one])
-            met = others[meet]
-            agree = (signs[met] == signs[one]).sum(axis=1)
-            met, agree = met[agree >= AGREE], agree[agree >= AGREE]
-            found.append(np.stack((np.full(len(met), node[one]), node[met], agree)))
-    one, two, agree = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
+    second = np.flatnonzero(own == j)
+    for one in np.flatnonzero(own == i).tolist():
+        met = second if i < j else second[second > one]
+        meet = (root[met] != root[one]) & (outside[met] | outside[one])
+        meet &= whole * np.minimum(size[met], size[one]) >= least * np.maximum(size[met], size[one])
+        met = met[meet]
+        agree = (signs[met] == signs[one]).sum(axis=1)
+        met, agree = met[agree >= AGREE], agree[agree >= AGREE]
+        first = bands[one, np.argmax(bands[met] == bands[one], axis=1)] == band
+        if first.any():
+            yield one, met[first], agree[first]
+
+
+def _with_candidates(table: pa.Table) -> pa.Table:
+    """The rows that have candidates in their block."""
+    plain = table.select(_PLACED)
+    kept = [plain.slice(0, 0)]
+    for block in _blocks(table):
+        wanted = np.zeros(len(block), bool)
+        for one, met, _ in _candidates(block):
+            wanted[one] = wanted[met] = True
+        kept.append(block.select(plain.column_names).filter(pa.array(wanted)))
+    return pa.concat_tables(kept).combine_chunks()
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Links between the roots of each block: candidates that are near copies and not joined yet."""
+    found: list[tuple[int, int]] = []
+    for block in _blocks(table):
+        node, root = (block.column(c).to_pylist() for c in ("node", "root"))
+        texts = block.column("text")
+        sets = {}
+        above = {r: r for r in root}
+
+        def top(of: int) -> int:
+            while above[of] != of:
+                above[of] = of = above[above[of]]
+            return of
+
+        pairs = [
+            np.stack((np.full(len(met), one), met, agree))
+            for one, met, agree in _candidates(block)
+        ]
+        pairs = np.concatenate([np.empty((3, 0), np.int64), *pairs], axis=1)
+        for one, two in pairs[:2, np.argsort(-pairs[2], kind="stable")].T.tolist():
+            a, b = top(root[one]), top(root[two])
+            if a == b:
+                continue
+            for row in (one, two):
+                if row not in sets:
+                    sets[row] = shingles(texts[row].as_py())
+            if _near(sets[one], sets[two]):
+                above[a] = b
+                found.append((node[one], node[two]))
     return pa.table(
         {
-            "a": pa.array(np.minimum(one, two)),
-            "b": pa.array(np.maximum(one, two)),
-            "agree": pa.array(agree.astype(np.int32)),
+            "a": pa.array([min(pair) for pair in found], pa.int64()),
+            "b": pa.array([max(pair) for pair in found], pa.int64()),
         }
     )
 

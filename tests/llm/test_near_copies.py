@@ -85,3 +85,57 @@ def test_long_texts_in_chunks(monkeypatch):
     for size in (1, 7, 999):
         monkeypatch.setattr(near_copies, "CHUNK", size)
         assert near_copies.band_keys(found) == whole
+
+
+def test_pairs_come_from_the_grid_of_fingerprints(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:399]), " ".join(words[:398] + ["x", "y"])]
+    texts += [" ".join(f"v{i}" for i in range(n)) for n in (300, 301)]
+    bits = [simhash.simhash(t.encode()) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= simhash.DISTANCE
+    assert (bits[3] ^ bits[4]).bit_count() <= simhash.DISTANCE
+    rows = [(1, 300, 0), (2, 300, 7), (3, 290, 7), (4, 30, 7), (5, 300, 255), (6, 300, 254)]
+    nodes = spark.createDataFrame(rows, "node long, size int, fp long")
+    found = sorted(tuple(sorted(r)) for r in near_copies._of_grid(nodes).collect())
+    assert found == [(1, 2), (2, 3), (5, 6)]
+    called = []
+    grid = near_copies._of_grid
+    monkeypatch.setattr(near_copies, "_of_grid", lambda nodes: called.append(nodes) or grid(nodes))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = {r.id: r.root for r in near_copies.groups(docs).collect()}
+    assert called and roots[0] == roots[1] and roots[3] == roots[4] and roots[0] != roots[3]
+
+
+def test_cloud_of_texts_that_are_not_quite_near(spark, monkeypatch):
+    """Pairs just below the limit are compared where they meet: no row of a pair leaves a block."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for n in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), 4):
+            words[at] = f"x{n}_{at}"
+        texts.append(" ".join(words))
+        if n % 10 == 0:
+            texts.append(" ".join([*words[:-1], "end"]))
+    group = list(range(len(texts)))
+    pairs = 0
+    for a, b in combinations(range(len(texts)), 2):
+        one, two = shingles(texts[a]), shingles(texts[b])
+        pairs += len(one & two) / len(one | two) >= 0.6
+        if near(texts[a], texts[b]) and group[a] != group[b]:
+            group = [group[a] if g == group[b] else g for g in group]
+    assert pairs > 100 and 1 < len(set(group)) < len(texts)
+    sizes = []
+    keep = near_copies.stored
+    monkeypatch.setattr(
+        near_copies, "stored", lambda df: sizes.append((df.columns, (kept := keep(df)).count())) or kept
+    )
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = {r.id: r.root for r in near_copies.groups(docs).collect()}
+    together = {(a, b) for a, b in combinations(roots, 2) if roots[a] == roots[b]}
+    assert together == {(a, b) for a, b in combinations(roots, 2) if group[a] == group[b]}
+    # first pairs with the smallest node of a key, from then on nothing but links
+    counts = [n for columns, n in sizes if columns[:2] == ["a", "b"]]
+    assert sum(counts[1:]) < len(texts) < pairs, (counts, pairs)
