@@ -33,6 +33,8 @@ UNKNOWN = "und"
 CHUNK_CHARS = 250_000
 #: Cells of a table of counts, and chunks whose counts are added up at a time.
 CELLS, CHUNKS = 2_000_000, 32
+#: N-grams whose counts a task keeps before it hands them on.
+HELD = 500_000
 #: Slices of a language's n-grams that are put in order apart.
 SLICES = 64
 
@@ -187,17 +189,35 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
 
 
 def _counts(batches: Iterator[pa.RecordBatch]):
+    """Counts by language, added up over batches as long as ``HELD`` n-grams are not exceeded, so
+    that small batches do not make many rows."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
     for batch in batches:
         languages: dict[str, list[str]] = {}
         rows = zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
         for name, text in rows:
             languages.setdefault(name, []).append(text)
         for name, texts in languages.items():
-            grams, counts = counts_of(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(grams)), pa.array(grams), pa.array(counts)],
-                ["lang", "gram", "n"],
-            )
+            parts = held.setdefault(name, [])
+            parts.append(counts_of(texts))
+            size += len(parts[-1][0])
+            if len(parts) == CHUNKS:
+                held[name] = [_summed(parts)]
+                size += len(held[name][0][0]) - sum(len(grams) for grams, _ in parts)
+        if size > HELD:
+            yield from _count_rows(held)
+            held, size = {}, 0
+    yield from _count_rows(held)
+
+
+def _count_rows(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    for name, parts in held.items():
+        grams, counts = _summed(parts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(grams)), pa.array(grams), pa.array(counts)],
+            ["lang", "gram", "n"],
+        )
 
 
 class Ranks:
